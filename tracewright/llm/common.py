@@ -48,8 +48,8 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict[str
     small_batches(rows.sparkSession)
     kept = [c for c in rows.columns if c != "text"]
     names = [x.split()[0] for x in added.split(", ")]
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
-    arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    arrow = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     types = [arrow[x.split()[1]] for x in added.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,7 +60,7 @@ def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict[str
                 got = of([t or "" for t in b.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(got[n], k) for n, k in zip(names, types, strict=True))], [*kept, *names])
 
-    return rows.mapInArrow(run, f"{kinds}, {added}")
+    return rows.mapInArrow(run, kinds + added)
 
 
 def shared_dir(spark: SparkSession) -> str:
