@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Distinct chunks that one Python worker remembers, and the longest one that it remembers.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 600_000, 40
 #: Documents of a group, about.
 GROUP_DOCS = 1024
 
@@ -30,32 +32,77 @@ def _tokenizer(path: str):
 class ChunkEncoder:
     """Ids of whole texts from ids of their chunks between ASCII white space.
 
-    The tokenizer drops white space before it merges, so no token crosses a chunk's end; each
-    distinct chunk is encoded once by the library itself.
+    The tokenizer drops white space and lowers letters before it merges, so no token crosses a
+    chunk's end and ASCII letters may be lowered first (not in texts that may hold a special
+    token's string). Each distinct chunk is encoded once by the library itself, words of letters
+    many at a time, until the table is full; later chunks are encoded again as they come.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tok, self.known = _tokenizer(path), {}
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if max(size, end_id + 1) <= 65536 else "<u4")
-        self.end = np.array([end_id], self.dtype).tobytes()
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if max(*vocab.values(), end_id) < 65536 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.end = self.pack([end_id])
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: one text of them all is cut where words end."""
+        if not words:
+            return []
+        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):  # a letter came apart
+            return self.others(words)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        at = [0, *(cuts * size).tolist()]
+        return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
+
+    def others(self, chunks: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def look_up(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not in the table. A word and one mark after it are two tokens' texts."""
+        bare = {c: c[:-1] for c in fresh if c[-1:] in b".," and (w := c[:-1].decode()).isalpha() and max(w) < "\u0100"}
+        letters = list(set(bare.values()).union(c for c in fresh if c not in bare and c.decode().isalpha()))
+        got: dict[bytes, bytes] = {}
+        for lo in range(0, len(letters), 256):
+            part = letters[lo : lo + 256]
+            got.update(zip(part, self.words([c.decode() for c in part]), strict=True))
+        marks = dict(zip((b".", b","), self.others([".", ","]), strict=True)) if bare else {}
+        got.update((c, got[w] + marks[c[-1:]]) for c, w in bare.items())
+        rest = [c for c in fresh if c not in got]
+        for lo in range(0, len(rest), 1024):
+            part = rest[lo : lo + 1024]
+            got.update(zip(part, self.others([c.decode() for c in part]), strict=True))
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [t.encode().split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        table, fresh = self.known, list(set().union(*chunks).difference(self.known))
-        for lo in range(0, len(fresh), 2048):
-            part = fresh[lo : lo + 2048]
-            for chunk, e in zip(part, self.tok.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-                table[chunk] = np.array(e.ids, self.dtype).tobytes()
-        out = [b"".join(map(table.__getitem__, c)) + self.end for c in chunks]
-        for c in fresh:
-            if len(c) > LONGEST:
-                del table[c]
+        raw = [t.encode() for t in texts]
+        chunks = [(t if b"<|" in t else t.lower()).split() for t in raw]
+        known = [list(map(self.known.get, c)) for c in chunks]
+        missing = [list(compress(c, map(not_, k))) for c, k in zip(chunks, known, strict=True)]
+        found = self.look_up(list(set().union(*missing)))
+        out = []
+        for k, m in zip(known, missing, strict=True):
+            if m:
+                new = map(found.__getitem__, m)
+                k = [x or next(new) for x in k]
+            out.append(b"".join(k) + self.end)
+        if len(self.known) + len(found) <= REMEMBERED:
+            self.known.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST)
         return out
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str, end_id: int) -> ChunkEncoder:
+    """One encoder for all tasks of a worker."""
+    return ChunkEncoder(path, end_id)
+
+
 class Tournament:
     """Free capacity of bins in a complete binary tree; each node holds the largest of its leaves."""
 
@@ -134,11 +181,11 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def make():
-        enc = ChunkEncoder(tokenizer_path, end_id)
+        enc = _encoder(tokenizer_path, end_id)
         return lambda texts: {"ids": enc.encode(texts)}
 
     def assemble(rows: pa.Table) -> pa.Table:
-        kind_of = ChunkEncoder(tokenizer_path, end_id).dtype
+        kind_of = _encoder(tokenizer_path, end_id).dtype
         in_order = sorted(zip(rows["id"].to_pylist(), rows["ids"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
         ids = [np.frombuffer(x, kind_of) for _, x in in_order]
         base = rows["grp"][0].as_py() << 32
