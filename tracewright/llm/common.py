@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of one Arrow batch. Texts may hold hundreds of kB, so the default of 10,000 rows is too many.
-BATCH_ROWS = 1024
+BATCH_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Distinct chunks that one Python worker remembers, and the longest one that it remembers.
-REMEMBERED, LONGEST = 600_000, 40
+REMEMBERED, LONGEST = 400_000, 40
 #: Documents of a group, about.
 GROUP_DOCS = 1024
 
@@ -97,12 +97,6 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, end_id: int) -> ChunkEncoder:
-    """One encoder for all tasks of a worker."""
-    return ChunkEncoder(path, end_id)
-
-
 class Tournament:
     """Free capacity of bins in a complete binary tree; each node holds the largest of its leaves."""
 
@@ -168,9 +162,9 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[tuple[int, int,
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, group_docs: int = GROUP_DOCS, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Pieces of packed sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+    """Pieces of packed sequences: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and their ids if asked for.
 
     A document is its ids and end_id; a null or empty text is end_id alone. Documents are dealt
     to groups by a hash of id and text, so no key, source or set of copies makes a large group,
@@ -179,32 +173,35 @@ def pack(
     """
     groups = max(1, -(-docs.count() // group_docs))
     kind = docs.schema[id_col].dataType.simpleString()
+    kind_of = ChunkEncoder(tokenizer_path, end_id).dtype
 
     def make():
-        enc = _encoder(tokenizer_path, end_id)
+        enc = ChunkEncoder(tokenizer_path, end_id)  # its table ends with the task
         return lambda texts: {"ids": enc.encode(texts)}
 
     def assemble(rows: pa.Table) -> pa.Table:
-        kind_of = _encoder(tokenizer_path, end_id).dtype
         in_order = sorted(zip(rows["id"].to_pylist(), rows["ids"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
         ids = [np.frombuffer(x, kind_of) for _, x in in_order]
         base = rows["grp"][0].as_py() << 32
-        out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in range(7 + with_ids)]
         for k, seq in enumerate(pack_lengths([len(x) for x in ids], capacity)):
             at = 0
             for i, start, n in seq:
                 piece = ids[i][start : start + n]
-                for col, v in zip(out, (in_order[i][0], start, n, zlib.crc32(piece.astype("<u4").tobytes()), len(ids[i]), base + k, at, piece.tobytes()), strict=True):
+                row = (in_order[i][0], start, n, zlib.crc32(piece.astype("<u4")), len(ids[i]), base + k, at)
+                for col, v in zip(out, (*row, piece.tobytes()) if with_ids else row, strict=True):
                     col.append(v)
                 at += n
         types = [rows.schema.field("id").type, *[pa.int64()] * 6, pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=False)], names=names)
 
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
+    added = ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in names[1:])
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.pmod(F.xxhash64(F.col(id_col), text, F.lit(17)), F.lit(groups)).alias("grp"), text.alias("text"))
     out = (
         map_texts(rows, make, "ids binary")
         .groupBy("grp")
-        .applyInArrow(assemble, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+        .applyInArrow(assemble, f"id {kind}, {added}")
     )
     return out.withColumnRenamed("id", id_col)
