@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import compress
 from operator import not_
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Distinct chunks that one Python worker remembers, and the longest one that it remembers.
-REMEMBERED, LONGEST = 400_000, 40
+REMEMBERED, LONGEST = 300_000, 40
 #: Documents of a group, about.
 GROUP_DOCS = 1024
 
@@ -35,49 +36,47 @@ class ChunkEncoder:
     The tokenizer drops white space and lowers letters before it merges, so no token crosses a
     chunk's end and ASCII letters may be lowered first (not in texts that may hold a special
     token's string). Each distinct chunk is encoded once by the library itself, words of letters
-    many at a time, until the table is full; later chunks are encoded again as they come.
+    by its model alone, until the table is full; later chunks are encoded again as they come.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tok, self.known = _tokenizer(path), {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if max(*vocab.values(), end_id) < 65536 else "<u4")
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.end = self.pack([end_id])
+        from tokenizers import pre_tokenizers
+
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_level = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: one text of them all is cut where words end."""
-        if not words:
-            return []
-        ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(words):  # a letter came apart
-            return self.others(words)
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        at = [0, *(cuts * size).tolist()]
-        return [raw[x:y] for x, y in zip(at, at[1:], strict=False)]
-
-    def others(self, chunks: list[str]) -> list[bytes]:
-        return [self.pack(e.ids) for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        return array(self.code, ids).tobytes()
+
+    def word(self, letters: bytes) -> bytes:
+        """Ids of a word of letters below U+0100, which the tokenizer only lowers and writes as bytes."""
+        w = letters.decode().lower()
+        return self.pack([t.id for t in self.tok.model.tokenize(w if w.isascii() else w.translate(self.byte_level))])
+
+    def others(self, chunks: list[bytes]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
     def look_up(self, fresh: list[bytes]) -> dict[bytes, bytes]:
         """Ids of chunks that are not in the table. A word and one mark after it are two tokens' texts."""
-        bare = {c: c[:-1] for c in fresh if c[-1:] in b".," and (w := c[:-1].decode()).isalpha() and max(w) < "\u0100"}
-        letters = list(set(bare.values()).union(c for c in fresh if c not in bare and c.decode().isalpha()))
+        marks = dict(zip((b".", b","), self.others([b".", b","]), strict=True))
         got: dict[bytes, bytes] = {}
-        for lo in range(0, len(letters), 256):
-            part = letters[lo : lo + 256]
-            got.update(zip(part, self.words([c.decode() for c in part]), strict=True))
-        marks = dict(zip((b".", b","), self.others([".", ","]), strict=True)) if bare else {}
-        got.update((c, got[w] + marks[c[-1:]]) for c, w in bare.items())
-        rest = [c for c in fresh if c not in got]
+        rest = []
+        for c in fresh:
+            mark = marks.get(c[-1:], b"")
+            bare = c[:-1] if mark else c
+            w = bare.decode()
+            if w.isalpha() and (w.isascii() or max(w) < "\u0100"):
+                got[c] = (self.known.get(bare) or self.word(bare)) + mark
+            else:
+                rest.append(c)
         for lo in range(0, len(rest), 1024):
             part = rest[lo : lo + 1024]
-            got.update(zip(part, self.others([c.decode() for c in part]), strict=True))
+            got.update(zip(part, self.others(part), strict=True))
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -97,6 +96,12 @@ class ChunkEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str, end_id: int) -> ChunkEncoder:
+    """One table for all tasks of a worker."""
+    return ChunkEncoder(path, end_id)
+
+
 class Tournament:
     """Free capacity of bins in a complete binary tree; each node holds the largest of its leaves."""
 
@@ -176,7 +181,7 @@ def pack(
     kind_of = ChunkEncoder(tokenizer_path, end_id).dtype
 
     def make():
-        enc = ChunkEncoder(tokenizer_path, end_id)  # its table ends with the task
+        enc = _encoder(tokenizer_path, end_id)
         return lambda texts: {"ids": enc.encode(texts)}
 
     def assemble(rows: pa.Table) -> pa.Table:
