@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Distinct chunks that one Python worker remembers, and the longest one that it remembers.
-REMEMBERED, LONGEST = 300_000, 40
+REMEMBERED, LONGEST = 450_000, 40
 #: Documents of a group, about.
 GROUP_DOCS = 1024
 
