@@ -101,9 +101,9 @@ def digests_of(docs: DataFrame, mean: int = CHUNK_BYTES) -> DataFrame:
 
 
 def windows_around(text: str, first: int, end: int, words: int = PASSAGE_WORDS) -> tuple[list[int], list[int]]:
-    """First words and digests of all windows of `words` words that hold the words first to end."""
+    """First words and digests of all windows of `words` words that meet the words first to end."""
     raw = words_of(text)
-    at = list(range(max(0, end - words), min(first, len(raw) - words) + 1))
+    at = list(range(max(0, first - words + SEED_WORDS), min(end - SEED_WORDS, len(raw) - words) + 1))
     if not at:
         return [], []
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw[at[0] : at[-1] + words]), np.uint64)
@@ -111,10 +111,9 @@ def windows_around(text: str, first: int, end: int, words: int = PASSAGE_WORDS)
 
 
 def verify_short(runs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """(id, first_word, end_word, kept_in) of the passages around runs that are shorter than a passage.
+    """(id, first_word, end_word, kept_in) of the passages around runs that prove none by themselves.
 
-    A passage that holds such a run has a window of `words` words that holds it; equal windows
-    of different documents prove it.
+    Equal windows of `words` words in different documents, around such a run, prove a passage.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,9 +132,9 @@ def verify_short(runs: DataFrame, named: DataFrame, words: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, seed_words: int = SEED_WORDS, mean: int = CHUNK_BYTES) -> DataFrame:
     """Passages of `words` words or more that several documents hold: doc_id, first_word, end_word, n_words, kept_in, kept.
 
-    A run of neighbouring chunk pairs that other documents hold too is a passage, if it has so
-    many words; a shorter run (seed_words at least) is one if a window of so many words around it
-    is held by another document. Words lie between white space. kept_in is the smallest id that
+    A run of neighbouring chunk pairs that other documents hold too is a passage, if it has twice
+    so many words; a shorter run (seed_words at least) may be one cut at its ends, or some by
+    chance side by side, and is one if another document holds a window of so many words there. Words lie between white space. kept_in is the smallest id that
     holds a part of it; kept marks the passage of that document. Documents are told apart by
     their id, so rows with equal ids share nothing with each other; a null id is replaced by a
     negative hash of the text. Null and empty texts have no chunks. Digests are counted with
@@ -152,7 +151,7 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, seed_words: i
         marked.groupBy("id", "run").agg(F.min("w0").alias("first_word"), F.max("w1").alias("end_word"), F.min("least").alias("kept_in")).where(F.col("end_word") - F.col("first_word") >= seed_words)
     )
     length = F.col("end_word") - F.col("first_word")
-    long = runs.where(length >= words).select("id", "first_word", "end_word", "kept_in")
-    short = verify_short(runs.where(length < words), named_by_id(docs), words)
+    long = runs.where(length >= 2 * words).select("id", "first_word", "end_word", "kept_in")
+    short = verify_short(runs.where(length < 2 * words), named_by_id(docs), words)
     out = long.unionByName(short).distinct()
     return out.select(F.col("id").alias("doc_id"), "first_word", "end_word", length.alias("n_words"), "kept_in", (F.col("id") == F.col("kept_in")).alias("kept"))
