@@ -13,9 +13,10 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, small_batches
 
-#: Bytes of a chunk on average; words of a passage (over 50); and words of a run of shared chunk
-#: pairs from which its surroundings are looked at. A passage loses a cut chunk at each end.
-CHUNK_BYTES, PASSAGE_WORDS, SEED_WORDS = 32, 51, 5
+#: Bytes of a chunk on average, and words of a passage (over 50). A run of shared chunk pairs loses
+#: a cut chunk at each end (6 words on average); runs of SEED_WORDS to SURE_WORDS are held against
+#: the other document's words.
+CHUNK_BYTES, PASSAGE_WORDS, SEED_WORDS, SURE_WORDS = 32, 51, 18, 90
 
 _TO_SPACE = bytes(32 if c < 32 else c for c in range(256))
 
@@ -100,58 +101,87 @@ def digests_of(docs: DataFrame, mean: int = CHUNK_BYTES) -> DataFrame:
     return named_by_id(docs).mapInArrow(run, "key long, id long, at int, w0 int, w1 int")
 
 
-def windows_around(text: str, first: int, end: int, words: int = PASSAGE_WORDS) -> tuple[list[int], list[int]]:
-    """First words and digests of all windows of `words` words that meet the words first to end."""
-    raw = words_of(text)
-    at = list(range(max(0, first - words + SEED_WORDS), min(end - SEED_WORDS, len(raw) - words) + 1))
-    if not at:
-        return [], []
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, raw[at[0] : at[-1] + words]), np.uint64)
-    return at, [int(np.uint64(xxhash.xxh3_64_intdigest(h[k : k + words].tobytes())).view(np.int64)) for k in range(len(at))]
-
-
-def verify_short(runs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """(id, first_word, end_word, kept_in) of the passages around runs that prove none by themselves.
-
-    Equal windows of `words` words in different documents, around such a run, prove a passage.
+def common_words(mine: list[bytes], theirs: list[bytes], lo: int, hi: int, words: int) -> tuple[int, int]:
+    """The longest stretch of my words around lo to hi that they hold too; the first that has so many words."""
+    core = mine[lo:hi]
+    if not core:
+        return lo, lo
+    joined, best = b" " + b" ".join(theirs) + b" ", (lo, lo)
+    key = b" " + b" ".join(core) + b" "
+    at = joined.find(key)
+    while at >= 0:
+        k = joined.count(b" ", 0, at)
+        a, b, x, y = lo, hi, k, k + len(core)
+        while a and x and mine[a - 1] == theirs[x - 1]:
+            a, x = a - 1, x - 1
+        while b < len(mine) and y < len(theirs) and mine[b] == theirs[y]:
+            b, y = b + 1, y + 1
+        if b - a > best[1] - best[0]:
+            best = (a, b)
+        if b - a >= words:
+            break
+        at = joined.find(key, at + 1)
+    return best
+
+
+def verify_runs(runs: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(id, first_word, end_word, kept_in) of the passages in runs that prove none by their length.
+
+    A run has up to three chunk pairs as anchors, each with two of the documents that hold it; my
+    words and theirs are compared from there to both sides.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, r, lo, hi, t in zip(*(b.column(c).to_pylist() for c in ("id", "run", "first_word", "end_word", "text")), strict=True):
-                out += [(d, i, r, k) for k, d in zip(*windows_around(t or "", lo, hi, words), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["key", "id", "run", "first_word"])
-
-    around = runs.join(named, "id").select("id", "run", "first_word", "end_word", "text").mapInArrow(run, "key long, id long, run int, first_word int")
-    shared = around.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
-    found = around.join(shared, "key").groupBy("id", "run").agg(F.min("first_word").alias("first_word"), (F.max("first_word") + words).alias("end_word"), F.min("least").alias("kept_in"))
-    return found.select("id", "first_word", "end_word", "kept_in")
-
-
-def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, seed_words: int = SEED_WORDS, mean: int = CHUNK_BYTES) -> DataFrame:
+            for i, r, lo, hi, kept, x, y in zip(*(b.column(c).to_pylist() for c in ("id", "run", "w0", "w1", "kept_in", "text", "their_text")), strict=True):
+                first, end = common_words(words_of(x or ""), words_of(y or ""), lo, max(lo + 1, hi - 1), words)
+                if end - first >= words:
+                    out.append((i, r, first, end, kept))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["id", "run", "first_word", "end_word", "kept_in"])
+
+    each = runs.select("id", "run", "kept_in", F.explode(F.array("longest", "first", "last")).alias("a"))
+    each = each.select("id", "run", "kept_in", "a.w0", "a.w1", F.explode(F.array("a.least", "a.most")).alias("their_id")).where("their_id <> id")
+    each = each.groupBy("id", "run", "kept_in", "their_id").agg(F.max_by(F.struct("w0", "w1"), F.col("w1") - F.col("w0")).alias("a")).select("id", "run", "kept_in", "their_id", "a.w0", "a.w1")
+    theirs = named.select(F.col("id").alias("their_id"), F.col("text").alias("their_text"))
+    found = each.join(named, "id").join(theirs, "their_id").mapInArrow(compare, "id long, run int, first_word int, end_word int, kept_in long")
+    best = found.groupBy("id", "run").agg(F.max_by(F.struct("first_word", "end_word", "kept_in"), F.struct(F.col("end_word") - F.col("first_word"), -F.col("first_word"))).alias("b"))
+    return best.select("id", "b.first_word", "b.end_word", "b.kept_in")
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, mean: int = CHUNK_BYTES) -> DataFrame:
     """Passages of `words` words or more that several documents hold: doc_id, first_word, end_word, n_words, kept_in, kept.
 
-    A run of neighbouring chunk pairs that other documents hold too is a passage, if it has twice
-    so many words; a shorter run (seed_words at least) may be one cut at its ends, or some by
-    chance side by side, and is one if another document holds a window of so many words there. Words lie between white space. kept_in is the smallest id that
-    holds a part of it; kept marks the passage of that document. Documents are told apart by
-    their id, so rows with equal ids share nothing with each other; a null id is replaced by a
-    negative hash of the text. Null and empty texts have no chunks. Digests are counted with
-    partial sums before the shuffle, and only shared ones are joined back, so that Spark splits
-    a very common passage.
+    A run of neighbouring chunk pairs that other documents hold too is a passage, if it has
+    SURE_WORDS words; a shorter run may be one cut at its ends, or some by chance side by side,
+    and is one if so many words around it are also in another document that holds its chunks.
+    Words lie between white space. kept_in is the smallest id that holds a part of it; kept marks
+    the passage of that document. Documents are told apart by their id, so rows with equal ids
+    share nothing with each other; a null id is replaced by a negative hash of the text. Null and
+    empty texts have no chunks. Digests are counted with partial sums before the shuffle, and
+    only shared ones are joined back, so that Spark splits a very common passage.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     rows = digests_of(docs, mean)
-    shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
+    shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
     found = rows.join(shared, "key")
     in_doc = Window.partitionBy("id").orderBy("at")
-    marked = found.select("id", "at", "w0", "w1", "least").withColumn("run", (F.col("at") - F.dense_rank().over(in_doc)).cast("int"))
+    marked = found.select("id", "at", "w0", "w1", "least", "most").withColumn("run", (F.col("at") - F.dense_rank().over(in_doc)).cast("int"))
+    anchor = F.struct("w0", "w1", "least", "most")
     runs = scratch.keep(
-        marked.groupBy("id", "run").agg(F.min("w0").alias("first_word"), F.max("w1").alias("end_word"), F.min("least").alias("kept_in")).where(F.col("end_word") - F.col("first_word") >= seed_words)
+        marked.groupBy("id", "run")
+        .agg(
+            F.min("w0").alias("first_word"),
+            F.max("w1").alias("end_word"),
+            F.min("least").alias("kept_in"),
+            F.max_by(anchor, F.col("w1") - F.col("w0")).alias("longest"),
+            F.min_by(anchor, "at").alias("first"),
+            F.max_by(anchor, "at").alias("last"),
+        )
+        .where(F.col("end_word") - F.col("first_word") >= SEED_WORDS)
     )
     length = F.col("end_word") - F.col("first_word")
-    long = runs.where(length >= 2 * words).select("id", "first_word", "end_word", "kept_in")
-    short = verify_short(runs.where(length < 2 * words), named_by_id(docs), words)
-    out = long.unionByName(short).distinct()
+    sure = runs.where(length >= SURE_WORDS).select("id", "first_word", "end_word", "kept_in")
+    out = sure.unionByName(verify_runs(runs.where(length < SURE_WORDS), named_by_id(docs), words)).distinct()
     return out.select(F.col("id").alias("doc_id"), "first_word", "end_word", length.alias("n_words"), "kept_in", (F.col("id") == F.col("kept_in")).alias("kept"))
