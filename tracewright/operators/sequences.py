@@ -1,0 +1,93 @@
+"""Order-dependent operators over long event tables: steps, runs, carried values, budgets, top-k."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+
+def assemble_steps(events: DataFrame, key: str, order: list[str], is_step: Column, is_error: Column, message: Column) -> DataFrame:
+    """A row for each step with what was attached to it: key, step, n_events, n_attached, last_error.
+
+    A step event closes the previous one. Other events belong to the current step; those before
+    the first step wait for it, and of their errors only the last one is kept, after which the
+    step's own errors win. Keys without a step give no rows.
+    """
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = events.withColumn("__step", is_step).withColumn("__error", F.when(is_error, message))
+    numbered = marked.withColumn("__n", F.sum(F.col("__step").cast("int")).over(upto)).withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    placed = numbered.withColumn("step", F.greatest(F.col("__n"), F.lit(1)).cast("long"))
+    rank = F.struct((F.col("__n") > 0).alias("own"), F.col("__at"))
+    out = placed.groupBy(key, "step").agg(
+        F.count("*").alias("n_events"),
+        F.sum((~F.col("__step")).cast("long")).alias("n_attached"),
+        F.max_by(F.col("__error"), F.when(F.col("__error").isNotNull(), rank)).alias("last_error"),
+        F.max(F.col("__step")).alias("__has"),
+    )
+    return out.where("__has").drop("__has")
+
+
+def runs(events: DataFrame, key: str, order: list[str], value: str, least: int = 3) -> DataFrame:
+    """Runs of equal neighbouring values (blank ones skipped): key, value, first_at, last_at, n."""
+    kept = events.where(F.coalesce(F.trim(F.col(value)), F.lit("")) != "")
+    at = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    within = F.row_number().over(Window.partitionBy(key, value).orderBy(*order))
+    islands = kept.withColumn("__island", at - within)
+    first = F.struct(*order)
+    grouped = islands.groupBy(key, value, "__island").agg(F.min(first).alias("lo"), F.max(first).alias("hi"), F.count("*").alias("n"))
+    return grouped.where(F.col("n") >= least).select(key, value, F.col(f"lo.{order[-1]}").alias("first_at"), F.col(f"hi.{order[-1]}").alias("last_at"), "n")
+
+
+def changed(events: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """All rows, with the last earlier value that is not null and whether this one differs from it."""
+    before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = events.withColumn("previous", F.last(value, ignorenulls=True).over(before))
+    return out.withColumn("changed", F.coalesce(F.col(value) != F.col("previous"), F.lit(False)))
+
+
+def top_k(rows: DataFrame, key: str, score: Column, order: list[str], k: int) -> DataFrame:
+    """The k best rows of each key by (-score, order), with rank_no."""
+    ranked = rows.withColumn("score", score).withColumn("rank_no", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), *order)).cast("long"))
+    return ranked.where(F.col("rank_no") <= k)
+
+
+def fit_budget(lines: Column, budget: int) -> Column:
+    """The lines before the first that overflows the budget (a line costs its length and 1); always the first."""
+    state = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("cost"), F.lit(False).alias("full"))
+
+    def step(s: Column, x: Column) -> Column:
+        cost = s["cost"] + F.length(x) + 1
+        fits = (~s["full"]) & ((F.size(s["kept"]) == 0) | (cost <= budget))
+        return F.struct(F.when(fits, F.array_append(s["kept"], x)).otherwise(s["kept"]).alias("kept"), F.when(fits, cost).otherwise(s["cost"]).alias("cost"), (~fits).alias("full"))
+
+    return F.aggregate(lines, state, step, lambda s: s["kept"])
+
+
+def head_and_tail(lines: Column, budget: int, head: float = 0.26, tail: float = 0.34) -> Column:
+    """Lines of the start and the end within shares of a budget; the end gives none of the start's."""
+    start = fit_budget(lines, int(budget * head))
+    rest = F.slice(lines, F.size(start) + 1, F.greatest(F.size(lines) - F.size(start), F.lit(0)))
+    end = F.reverse(fit_budget(F.reverse(rest), int(budget * tail)))
+    return F.when(F.size(rest) > 0, F.concat(start, end)).otherwise(start)
+
+
+def chunk_number(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
+    """All rows with the number of their chunk of `size` rows, in order."""
+    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("long"))
+
+
+def rank_lines(lines: Column, terms: Column, roles: list[str], k: int) -> Column:
+    """The k best lines by 10 for a matched term and 1 for a role word; then by position.
+
+    A line without a score stays only among the first four.
+    """
+
+    def scored(x: Column, i: Column) -> Column:
+        low = F.lower(x)
+        hits = F.size(F.filter(terms, lambda t: low.contains(F.lower(t))))
+        role = sum((low.contains(r).cast("int") for r in roles), F.lit(0))
+        return F.struct((-(hits * 10 + role)).alias("order"), i.alias("at"), x.alias("line"))
+
+    kept = F.filter(F.transform(lines, scored), lambda s: (s["order"] < 0) | (s["at"] < 4))
+    return F.transform(F.slice(F.array_sort(kept), 1, k), lambda s: s["line"])

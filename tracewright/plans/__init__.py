@@ -1,4 +1,5 @@
 """Named queries over the driver's tables, with the SQL that states their results."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .catalogue import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
