@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import outcome as oc
 from ..functions import text as tx
 from ..functions import vector as vec
-from ..operators import pairs, scoring, sequences
+from ..operators import clusters, models, pairs, rubrics, scoring, sequences, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -534,3 +534,57 @@ def ordered_counts(spark, sf_dir):
     """A map of counts in order of keys (AGG-6, JSN-5)."""
     n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
     return n.groupBy("lang").agg(F.to_json(tx.counts_map(F.col("source"), F.col("n"))).alias("sources"))
+
+
+_EDGES = f"(SELECT a.vec_id AS a, b.vec_id AS b FROM {_VEC} a JOIN {_VEC} b ON a.vec_id <> b.vec_id WHERE 1 - list_cosine_similarity(a.v, b.v) <= 0.6)"
+
+
+@query(f"""
+    WITH RECURSIVE edges AS MATERIALIZED (SELECT * FROM {_EDGES}),
+    reach AS (SELECT vec_id AS id, vec_id AS other FROM embeddings UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a)
+    SELECT id, min(other) AS component FROM reach GROUP BY id
+""")
+def threshold_components(spark, sf_dir):
+    """Components of pairs within a distance (step 2 of the linkage)."""
+    rows = _vectors(spark, sf_dir)
+    return clusters.components(vec.pair_distances(rows, 0.6), rows)
+
+
+@query()
+def cluster_labels(spark, sf_dir):
+    """Clusters by consensus of average linkages (MTH-11, AGG-18 to AGG-20, WIN-12, WIN-13)."""
+    return clusters.cluster_tasks(_vectors(spark, sf_dir), thresholds=(0.5, 0.55, 0.6)).drop("labels")
+
+
+@query()
+def cluster_summary(spark, sf_dir):
+    """Sizes and strength of clusters (AGG-5)."""
+    return clusters.cluster_summary(clusters.cluster_tasks(_vectors(spark, sf_dir), thresholds=(0.5, 0.55, 0.6)))
+
+
+@query()
+def mcr_selection(spark, sf_dir):
+    """A subset of each group by coding rate (TOP-12, MTH-12 to MTH-14)."""
+    rows = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return rubrics.mcr_selection(rows, "label", most=10)
+
+
+@query()
+def model_output_repair(spark, sf_dir):
+    """Criteria from a stub model's answers on each item (SRC-27, JSN-1, PRJ-28, PRJ-35)."""
+    prompts = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("pair_id"), F.concat(F.lit("Name criteria for:\n"), "text").alias("prompt"))
+    answers = models.complete_all(prompts, models.StubClient, "pair_id")
+    return rubrics.flatten(rubrics.parse_rubrics(answers), "pair_id", "rubrics").select("pair_id", "rubric_id", "dimension", "criterion", "severity")
+
+
+@query()
+def conversation_summaries(spark, sf_dir):
+    """Conversations as traces: steps, actions, final state, errors and cards (PRJ-17 to PRJ-19, CARD-1)."""
+    turns = table(spark, sf_dir, "conversations")
+    event = F.when(F.col("role") == "assistant", F.struct(F.col("turn").alias("num"), F.col("text").alias("thought"), F.lit(None).cast("string").alias("observation"))).otherwise(
+        F.struct(F.col("turn").alias("num"), F.lit(None).cast("string").alias("thought"), F.col("text").alias("observation"))
+    )
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))).alias("x"), F.min_by("text", "turn").alias("task"))
+    as_variant = F.transform("x", lambda x: F.parse_json(F.to_json(x["e"])))
+    records = grouped.select(F.col("conv_id").cast("string").alias("record_id"), "task", F.lit(None).cast("string").alias("outcome_text"), as_variant.alias("trace"), F.parse_json(F.lit("{}")).alias("metadata"), F.lit("").alias("source_path"))
+    return traces.summaries(records).select("record_id", "outcome", "n_steps", F.size("cards").alias("n_cards"), F.size("final_cues").alias("n_final_cues"))
