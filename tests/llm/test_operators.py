@@ -1,0 +1,450 @@
+"""The ten operators against brute force on small fixtures, with nulls, repeats, ties and clashing columns."""
+
+import hashlib
+import random
+import re
+import struct
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tracewright.llm import components, decontamination, embedding_dedup, ngram_join, packing, pii, queries, sharding, substring_dedup, token_counts, toxicity, warc
+from tracewright.llm.common import Scratch
+
+#: Columns that operators use for themselves or return.
+CLASHING = ("id", "n", "sig", "key", "row_key", "size", "grp", "range", "score", "component_id", "n_tokens", "spans", "raw", "block", "words")
+SCHEMA = "doc_id long, text string"
+
+
+def clashing(df, names=CLASHING):
+    return df.withColumns({c: F.lit(-1) for c in names})
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice(["ka", "lo", "mi", "ter", "un", "sol"]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(5)
+    base = [prose(rng, rng.randint(20, 200)) for _ in range(30)]
+    out = [*base, *base[:5]]
+    for t in base[:12]:  # near copies
+        w = t.split()
+        w[rng.randrange(len(w))] = "changed"
+        out.append(" ".join(w))
+    return [*out, None, "", "  \n ", "one two", "one two", "é ñ ß", prose(rng, 20_000), "x" * 50_000, "again " * 3000]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [rows[0], rows[0], (None, "no id here"), (None, None), (7000, texts[0])]
+    return clashing(spark.createDataFrame(rows, SCHEMA).repartition(5))
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))
+
+
+# op1
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def base_spans(t):
+    out = [("email", *m.span()) for m in EMAIL.finditer(t)]
+    out += [("ip", *m.span()) for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 16 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0:
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in PHONE.finditer(t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_patterns():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        t = "".join(rng.choice("a.12 -+@(9)0\né") for _ in range(rng.randint(0, 40)))
+        assert pii.find_base(t) == base_spans(t), t
+    assert pii.find_base("4242 4242 4242 4242, +1 (555) 123-4567") == [("card", 0, 19), ("phone", 21, 38)]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("mail jоhn@exаmple.com now", "email", "jоhn@exаmple.com"),
+        ("to john [at] example [dot] com.", "email", "john [at] example [dot] com"),
+        ("john dot doe at example dot com", "email", "john dot doe at example dot com"),
+        ("call plus one four one five five five five two six seven one ok", "phone", "plus one four one five five five five two six seven one"),
+        ("card four two four two 4242 4242 4242", "card", "four two four two 4242 4242 4242"),
+        ("at １９２．１６８．０．１ now", "ip", "１９２．１６８．０．１"),
+    ],
+)
+def test_disguises(text, kind, part):
+    base, both = pii.find(text)
+    assert not base and [(k, text[s:e]) for k, s, e in both] == [(kind, part)]
+
+
+def test_plain_prose_has_no_disguise():
+    for t in ("look at the dot on the map", "one two three tests", "we met at noon. Then we left", "ŝtrange ünïcode “quotes” – dash"):
+        assert pii.find(t) == ([], [])
+
+
+def test_pii_of_awkward_documents(docs, empty):
+    got = pii.find_pii(docs).collect()
+    assert len(got) == docs.count() and pii.find_pii(empty).count() == 0
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert all(r["base_sha256"] == nothing and r["spans"] == "" for r in got)
+
+
+def test_masking():
+    assert pii.mask_text("a b@c.de and b [at] c [dot] de") == "a [EMAIL] and [EMAIL]"
+    assert pii.mask_text(None) is None and pii.mask_text("") == ""
+
+
+# op2
+
+
+def shingles(t, k):
+    w = (t or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {b" ".join(w)} - {b""}
+
+
+def linked_groups(rows, k, percent):
+    sets = [shingles(t, k) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * common >= percent * len(sets[i] | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, len(s), least.get(find(i)) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+@pytest.mark.parametrize("short", [2, 32])
+def test_ngram_groups(spark, docs, empty, short):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = ngram_join.ngram_groups(docs, short=short, block=4).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter(linked_groups(rows, 4, 85))
+    assert ngram_join.ngram_groups(empty).count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    rng = random.Random(2)
+    base = prose(rng, 120).split()
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"w{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, SCHEMA), short=8, block=16).select("doc_id", "n_shingles", "component_id").collect()
+    assert Counter(map(tuple, got)) == Counter(linked_groups(rows, 4, 85))
+
+
+def test_t_occurrence_search_equals_scan():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(80)]
+    index = ngram_join.Index(sets)
+    for q in sets:
+        assert index.search(q).tolist() == [i for i, s in enumerate(sets) if ngram_join.linked(q, s)]
+
+
+def test_keep_one(docs, empty):
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and ngram_join.keep_one(empty).count() == 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = linked_groups(rows, 4, 85)
+    assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {d for d, n, c in groups if d is not None and (n == 0 or d == c)}
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500, 500 + i) for i in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"))
+    want = dict(components.spanning(edges))
+    assert {r[0]: r[1] for r in got.collect() if r[0] != r[1]} == want
+
+
+# op3
+
+
+def test_arc_versions():
+    for version in (1, 2):
+        head = warc.arc_header(version, "x.arc", "19990102030405")
+        data = head + warc.arc_record(version, "http://a/b c", "19990102030405", "text/html", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\n", "x.arc", len(head))
+        first, second = warc.read_arc(data)
+        assert (first.version, second.url, second.body[-6:]) == (version, "http://a/b c", b"body\n\n")
+        (_, _), (fields, block) = warc.read_warc(warc.convert(data))
+        assert fields["WARC-Type"] == "response" and fields["WARC-Date"] == "1999-01-02T03:04:05Z" and block == second.body
+    assert warc.iso_date("199901") == "1999-01-01T00:00:00Z"
+    with pytest.raises(ValueError, match="record line"):
+        list(warc.read_arc(b"http://a 1.1.1.1 19990102030405 text/html 999\nshort"))
+
+
+def test_archives(spark):
+    long = "<p>" + "é" * 600
+    rows = [(1, "http://a b", long), (2, None, long), (3, "u", long), (4, "", "short"), (5, "u", "short"), (6, "u", None), (None, "u", long), (3, "u", long), (7, "u", "y" * 999), (8, "u", "y" * 999)]
+    df = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"), ("digest", "payload"))
+    got = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archive_pages(df).collect())
+    want = Counter()
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        revisit = len(raw) >= 1000 and page != 3
+        want[(page, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 3 if revisit else None)] += 1
+    assert got == want
+    assert warc.archive_pages(df.limit(0)).count() == 0
+
+
+# op4
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1200):
+        bad = rng.random() < 0.2
+        w = prose(rng, 40).split()
+        for _ in range(3 if bad else 0):
+            w.insert(rng.randrange(len(w)), rng.choice(["idiot", "1d1ot!", "zorkana", "zorkani", "you MORON"]))
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs = clashing(spark.createDataFrame([*rows, (None, None), (5000, "")], SCHEMA))
+    got = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    assert len(got) == 1202 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
+    truth = dict(labels)
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in got if r["held_out"] and r["doc_id"] in truth]
+    assert np.mean([a == b for a, b in held]) > 0.97
+    kept = toxicity.reject_toxic(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
+
+
+def test_toxicity_without_labels(spark, docs):
+    got = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
+    assert len(got) == docs.count() and {r["score"] for r in got} == {0.0}
+
+
+def test_isotonic_is_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal(500)
+    knots, levels = toxicity.isotonic(x, (rng.random(500) < 1 / (1 + np.exp(-2 * x))).astype(float))
+    assert (np.diff(levels) >= 0).all() and (np.diff(knots) >= 0).all()
+
+
+# op5
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((60, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for i in range(40):  # near and exact copies, and multiples
+        v = x[i % 6] + (0.12 * rng.standard_normal(16) if i % 3 else 0)
+        rows.append((100 + i, (v * (2 if i % 4 == 0 else 1)).astype(np.float32).tolist()))
+    odd = [(200, None), (201, [0.0] * 16), (202, [float("nan")] * 16), (203, [None] * 16), (204, []), (None, rows[0][1]), (3, rows[3][1])]
+    df = clashing(spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>"), ("node", "raw", "label", "n_links"))
+    got = embedding_dedup.near_duplicates(df).collect()
+    usable = [*rows, (None, rows[0][1]), (3, rows[3][1])]
+    u = np.array([v for _, v in usable], float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = np.arange(len(u))
+    for _ in range(len(u)):
+        label = np.array([min([label[i], *label[link[i]]]) for i in range(len(u))])
+    least = defaultdict(lambda: 10**9)
+    for i, (k, _) in enumerate(usable):
+        least[label[i]] = min(least[label[i]], k if k is not None else 10**9)
+    want = Counter((k, int(link[i].sum()), least[label[i]]) for i, (k, _) in enumerate(usable))
+    want += Counter((k, 0, k) for k, _ in odd[:5])
+    assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+    small = embedding_dedup.near_duplicates(df, tile=4).collect()
+    assert sorted(map(str, small)) == sorted(map(str, got))
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+# op6
+
+
+def test_leaks(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, n)) for i, n in enumerate((30, 40, 45, 60, 3))] + [(9, None), (10, "")]
+    rows = []
+    for i in range(40):
+        t = prose(rng, 120).split()
+        if i % 4 == 0:
+            leak = items[i % 5][1].split()
+            if i % 8 == 0 and len(leak) > 40:
+                leak[-1] = "other"
+            t[50:50] = leak
+        rows.append((i, " ".join(t).upper() if i % 3 == 0 else ", ".join(t)))
+    rows += [(100, None), (101, ""), (None, items[1][1]), (102, items[4][1]), (0, rows[0][1])]
+    docs = clashing(spark.createDataFrame(rows, SCHEMA))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    grams = lambda w, n: Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    want = set()
+    for d, t in rows:
+        w = words(t)
+        for k, it in items:
+            iw = words(it)
+            n = min(5, len(iw))
+            if iw and any((lambda a, b: sum((a & b).values()) >= 0.8 * sum((a | b).values()) > 0)(grams(w[s : s + len(iw)], n), grams(iw, n)) for s in range(max(1, len(w) - len(iw) + 1))):
+                want.add((d, k))
+    got = decontamination.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) >= 10
+    clean = decontamination.remove_leaks(docs, bench)
+    assert clean.columns == docs.columns and clean.count() == sum(d not in {x for x, _ in want} for d, _ in rows)
+    assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and decontamination.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_hamming_blocks(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for bit in rng.sample(range(64), rng.randint(0, 23)):
+            b ^= 1 << bit
+        rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(rows, "a long, b long")
+    same = F.exists(F.zip_with(decontamination.hamming_blocks(F.col("a")), decontamination.hamming_blocks(F.col("b")), lambda x, y: x == y), lambda x: x)
+    assert df.where(same).count() == 200
+
+
+# op7
+
+
+def test_passages(spark):
+    rng = random.Random(10)
+    shared, brief = prose(rng, 60), prose(rng, 12)
+    rows = []
+    for i in range(60):
+        t = prose(rng, 150).split()
+        t[70:70] = shared.split() if i % 6 == 0 else brief.split() if i % 6 == 1 else []
+        rows.append((i, " ".join(t)))
+    rows += [(100, None), (101, ""), (None, rows[2][1]), (3, rows[3][1])]
+    got = substring_dedup.repeated_passages(clashing(spark.createDataFrame(rows, SCHEMA))).collect()
+    found = {r["doc_id"] for r in got}
+    assert {i for i in range(60) if i % 6 == 0} <= found and found <= {*range(0, 60, 6), 2} | {d for d in found if d < 0}
+    for r in got:
+        if r["doc_id"] % 6 == 0 and r["doc_id"] > 0:
+            assert r["first_word"] <= 75 and r["end_word"] >= 125 and not r["kept"]
+    assert substring_dedup.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_chunks_resist_shifts():
+    rng = random.Random(11)
+    t = prose(rng, 400).encode()
+    cuts = set(substring_dedup.cut_points(np.frombuffer(t, np.uint8)).tolist())
+    moved = {c - 7 for c in substring_dedup.cut_points(np.frombuffer(b"insert " + t, np.uint8)).tolist()}
+    assert {c for c in cuts if c > 16} <= moved
+
+
+# op8, op10
+
+
+def test_token_counts(spark, docs, empty):
+    import sentencepiece
+
+    path = queries.tokenizer("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    extra = spark.createDataFrame([(900, "  a  b "), (901, "▁x ▁"), (902, "<s> </s> <unk>"), (903, "\t\n \x00"), (904, "日本 語")], SCHEMA)
+    both = docs.select("doc_id", "text").union(extra)
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()), len(sp.encode(r["text"] or ""))) for r in both.collect())
+    got = token_counts.count_tokens(both, path).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+    assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got) and token_counts.count_tokens(empty, path).count() == 0
+
+
+def test_packing_round_trip(spark, docs, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    extra = spark.createDataFrame([(900, "It's <|endoftext|> İ. ſt é. 3.14!"), (901, "A<|STARTOFTEXT|>b"), (902, "x\x85y\x1cz")], SCHEMA)
+    both = docs.select("doc_id", "text").union(extra)
+    want = Counter((r["doc_id"], tuple([*tok.encode(r["text"] or "", add_special_tokens=False).ids, 2])) for r in both.collect())
+    got = packing.pack(both, path, group_docs=16).collect()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in got:
+        ids = np.frombuffer(r["ids"], "<u2").tolist()
+        assert len(ids) == r["length"] and zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)) == r["ids_crc32"]
+        pieces[(r["doc_id"], r["doc_tokens"])].append((r["start"], ids))
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 4096
+    for (d, ids), n in want.items():
+        if n == 1 and sum(k[0] == d for k in want) == 1:
+            assert sum((x for _, x in sorted(pieces[(d, len(ids))])), []) == list(ids)
+    assert sum(n * len(ids) for (_, ids), n in want.items()) == sum(r["length"] for r in got)
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_first_fit_decreasing():
+    tree = packing.Tournament(5, 10)
+    assert [tree.take(n) for n in (7, 6, 4, 3, 9)] == [0, 1, 1, 0, 2]
+    rng = random.Random(12)
+    lengths = [rng.randint(1, 300) for _ in range(200)]
+    seqs = packing.pack_lengths(lengths, 100)
+    assert len(seqs) == -(-sum(lengths) // 100)
+    covered = Counter((i, k) for s in seqs for i, start, n in s for k in range(start, start + n))
+    assert covered == Counter((i, k) for i, n in enumerate(lengths) for k in range(n))
+
+
+# op9
+
+
+def test_shards(spark, docs, empty):
+    got = sharding.shard(docs, shards=5).collect()
+    rows = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == rows
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    total, largest = sum(r["size"] for r in got), max(r["size"] for r in got)
+    assert all(abs(sum(r["size"] for r in v) - total / 5) <= largest for v in by.values())
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    assert {r["law"] for r in got} == {"bytes"} and {r["grown_shard"] for r in got} == {None}
+    assert sharding.shard(empty).count() == 0
+
+
+def test_hot_text_is_subdivided(spark):
+    rows = [(i, "same text " * 20 if i % 3 == 0 else prose(random.Random(i), 30)) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA)).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    sizes = [r["s"] for r in got]
+    assert len(sizes) == 40 and max(sizes) - min(sizes) <= 2 * 300
+
+
+def test_look_alikes_are_not_letters_of_their_own():
+    assert all(ord(c) > 127 and len(p) == 1 for c, p in pii._LOOKALIKE.items())
+    assert unicodedata.normalize("NFKC", "＠") == "@"

@@ -42,7 +42,9 @@ _SPELLED_WORD = re.compile(rf"(double|triple)[\x20,._-]{{1,2}}({_WORD}|[0-9])|({
 _GAP = re.compile(r"(?<=[0-9+.\-])[\x20,_]{1,2}(?=[0-9+.\-])")
 _AT_MARK = re.compile(r"[\x20]?(?:\[[\x20]?(?:at|@)[\x20]?\]|\([\x20]?(?:at|@)[\x20]?\)|\{[\x20]?(?:at|@)[\x20]?\}|<[\x20]?at[\x20]?>)[\x20]?", re.I)
 _DOT_MARK = re.compile(r"[\x20]?(?:\[[\x20]?(?:dot|\.)[\x20]?\]|\([\x20]?(?:dot|\.)[\x20]?\)|\{[\x20]?(?:dot|\.)[\x20]?\}|<[\x20]?dot[\x20]?>)[\x20]?", re.I)
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[\x20]dot[\x20])[A-Za-z0-9_%+-]+)*[\x20]at[\x20][A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)+", re.I)
+# Top-level domains that a spoken address may end with.
+_SPOKEN_ENDS = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|ch|at|be|jp|cn|in|br|ru|pl|se|no|dev|app|me|tv"
+_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[\x20]dot[\x20])[A-Za-z0-9_%+-]+)*[\x20]at[\x20][A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)*[\x20]dot[\x20](?:" + _SPOKEN_ENDS + r")(?![A-Za-z0-9-])", re.I)
 _SPOKEN_MARK = re.compile(r"[\x20](?:(at)|dot)[\x20]", re.I)
 _MARKS = re.compile(r"\b(?:at|dot)\b", re.I)
 _ODD = re.compile(r"[^\x00-\xff]|[\xad]")

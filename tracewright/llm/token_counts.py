@@ -36,7 +36,7 @@ def pre_tokens(text: str) -> list[str]:
     """A text cut before each run of spaces, without the space that the tokenizer adds by itself.
 
     The tokenizer puts one space before a text, so a pre-token with k spaces is given to it
-    with k - 1. Trailing spaces are a pre-token of their own.
+    with k - 1. Trailing spaces are a pre-token of their own; a single one is the empty string.
     """
     if not text:
         return []
@@ -52,7 +52,6 @@ def pre_tokens(text: str) -> list[str]:
         else:
             spaces += 1
     if spaces:
-        # k trailing spaces leave k empty strings; the first of a whole text is the added one
         out.append(" " * (spaces - 1))
     return out
 
@@ -62,6 +61,7 @@ class PieceCounter:
 
     def __init__(self, path: str):
         self.sp, self.known, self.whole = _processor(path), {}, not splits_at_spaces(path)
+        self.last_space = len(self.sp.encode("a ")) - len(self.sp.encode("a"))
 
     def totals(self, texts: list[str]) -> list[int]:
         if self.whole:
@@ -71,6 +71,8 @@ class PieceCounter:
             self.known.clear()
         fresh = list(set().union(*bags).difference(self.known)) if bags else []
         table = self.known
+        table[""] = self.last_space
+        fresh = [p for p in fresh if p]
         for lo in range(0, len(fresh), 4096):
             part = fresh[lo : lo + 4096]
             table.update(zip(part, map(len, self.sp.encode(part, num_threads=1)), strict=True))

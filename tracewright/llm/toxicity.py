@@ -15,6 +15,8 @@ from .common import Scratch, map_texts, ship
 #: Most labelled rows that a model is fitted on, chosen by a hash of their id.
 MOST_LABELLED = 12_000
 THRESHOLD = 0.3
+#: Rows of the base rate that each pool of the calibration is mixed with, so that few labels reject little.
+CAUTION = 5
 
 # Common insults of four languages, without slurs for groups of people.
 INSULTS = (
@@ -208,7 +210,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, rate: f
 
 
 def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: middles of pools and their smoothed means, ascending."""
+    """Pool adjacent violators: middles of pools and their means, ascending, drawn to the base rate as by CAUTION rows."""
     order = np.argsort(raw, kind="stable")
     pools: list[list[float]] = []
     for r, v in zip(raw[order], y[order], strict=True):
@@ -217,7 +219,7 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             _, hi, v2, w2 = pools.pop()
             pools[-1] = [pools[-1][0], hi, pools[-1][2] + v2, pools[-1][3] + w2]
     knots = np.array([(p[0] + p[1]) / 2 for p in pools])
-    levels = np.array([(p[2] + 0.02) / (p[3] + 0.2) for p in pools])
+    levels = np.array([(p[2] + CAUTION * y.mean()) / (p[3] + CAUTION) for p in pools])
     levels = np.maximum.accumulate(levels)
     span = max(1.0, float(np.ptp(knots)))
     return np.r_[knots[0] - span, knots, knots[-1] + span], np.r_[levels[0] * 0.5, levels, (1 + levels[-1]) / 2]
@@ -280,8 +282,8 @@ def _featurizer(lexicon: Lexicon):
     return lambda texts: {"x": [features(t, lexicon) for t in texts]}
 
 
-def score(docs: DataFrame, model: Forest) -> DataFrame:
-    """All columns of docs and a column score; null texts count as empty."""
+def score(docs: DataFrame, model: Forest, name: str = "score") -> DataFrame:
+    """All columns of docs and a column of scores; null texts count as empty."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded: trees and calibration knots
@@ -291,7 +293,7 @@ def score(docs: DataFrame, model: Forest) -> DataFrame:
         return lambda texts: {"score": m.score(np.array([features(t, m.lexicon) for t in texts]).reshape(-1, len(FEATURES))).tolist()}
 
     whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_texts(whole, make, "score double").select("row.*", "score")
+    return map_texts(whole, make, "score double").select("row.*", F.col("score").alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, held_out: int = 2, id_col: str = "doc_id") -> DataFrame:
@@ -308,5 +310,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, h
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, with all their columns."""
-    scored = score(docs.withColumn("__text", F.col("text")), train(docs, labels))
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    scored = score(docs, train(docs, labels), "__score")
+    return scored.where(F.col("__score") < threshold).select(*docs.columns)
