@@ -52,8 +52,11 @@ def tokens(c: Column) -> Column:
 def ordered_distinct(items: Column) -> Column:
     """Trimmed non-empty items, the first spelling of each kept."""
     kept = F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))
-    low = F.transform(kept, F.lower)
-    return F.filter(kept, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    # bound once, as a lambda's body would work the lists out again for each item
+    both = F.array(F.struct(kept.alias("kept")))
+    both = F.transform(both, lambda s: F.struct(s["kept"].alias("kept"), F.transform(s["kept"], F.lower).alias("low")))
+    first = F.transform(both, lambda s: F.transform(F.array_distinct(s["low"]), lambda d: F.get(s["kept"], (F.array_position(s["low"], d) - 1).cast("int"))))
+    return F.get(first, F.lit(0))
 
 
 def matched_terms(terms: Column, text: Column) -> Column:
