@@ -153,3 +153,8 @@ def test_replayed_pairs(spark):
     df = spark.createDataFrame(rows, "k string, r string, outcome string")
     a, b = (pairs.pick_pairs_replayed(df.repartition(n), ["k"], "r").first() for n in (1, 5))
     assert a == b and a["positive"] in ("r1", "r3", "r5") and a["negative"] in ("r0", "r2", "r4")
+
+
+def test_distinct_keeps_digits_and_strips_white_space(spark):
+    df = spark.createDataFrame([(["0 a0", "1b1", " c\t", "C", "3", " ", None],)], "x array<string>")
+    assert df.select(tx.ordered_distinct(F.col("x"))).first()[0] == ["0 a0", "1b1", "c", "3"]

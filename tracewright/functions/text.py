@@ -14,6 +14,15 @@ STOPWORDS = (
 ).split()
 
 
+#: What a strip takes from the ends.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u2028\u2029\u3000"
+
+
+def strip(c: Column) -> Column:
+    """White space at the ends removed. (F.trim takes two columns, so transform would hand it an item's place.)"""
+    return F.trim(c, F.lit(WHITE))
+
+
 def norm_ws(c: Column) -> Column:
     """Unicode white space collapsed to single spaces, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -51,7 +60,7 @@ def tokens(c: Column) -> Column:
 
 def ordered_distinct(items: Column) -> Column:
     """Trimmed non-empty items, the first spelling of each kept."""
-    kept = F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != ""))
+    kept = F.filter(F.transform(items, strip), lambda x: x.isNotNull() & (x != ""))
     # bound once, as a lambda's body would work the lists out again for each item
     both = F.array(F.struct(kept.alias("kept")))
     both = F.transform(both, lambda s: F.struct(s["kept"].alias("kept"), F.transform(s["kept"], F.lower).alias("low")))
