@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import clean_lines, ordered_distinct
+from .text import clean_lines, one_line, ordered_distinct
 
 # Words that raise or lower a cue's score.
 STRUCTURE = ("heading", "dialog", "alert", "table", "grid", "row")
@@ -61,6 +61,26 @@ def balanced_cues(lines: Column, limit: int) -> Column:
     return F.transform(F.array_sort(F.transform(picked, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x")))), lambda s: s["x"])
 
 
+def segmented_cues(segments: Column, limit: int, width: int) -> Column:
+    """An equal share of each segment (section, cues) in order, then what is left of each up to the limit; named by section.
+
+    Blank cues and segments without any are left out; repeats go after the limit.
+    """
+    tidy = F.transform(
+        segments,
+        lambda s: F.struct(
+            F.coalesce(F.nullif(F.trim(s["section"]), F.lit("")), F.lit("observation")).alias("section"),
+            F.transform(F.filter(s["cues"], lambda c: F.trim(c) != ""), lambda c: one_line(c, width)).alias("cues"),
+        ),
+    )
+    filled = F.filter(tidy, lambda s: F.size(s["cues"]) > 0)
+    share = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.size(filled), F.lit(1))).cast("int"))
+    named = lambda s, part: F.transform(part, lambda c: F.concat(s["section"], F.lit(": "), c))
+    first = F.flatten(F.transform(filled, lambda s: named(s, F.slice(s["cues"], F.lit(1), share))))
+    rest = F.flatten(F.transform(filled, lambda s: named(s, F.slice(s["cues"], share + 1, F.size(s["cues"])))))
+    return ordered_distinct(F.slice(F.concat(first, rest), 1, limit))
+
+
 def fit_cards(cards: Column, most: int) -> Column:
     """The cards before the first whose JSON goes over the limit of characters; always the first."""
     state = F.struct(F.lit(0).alias("n"), F.lit(2).alias("cost"), F.lit(False).alias("full"))

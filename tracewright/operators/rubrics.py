@@ -7,9 +7,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..session import ship
 
 # Names under which a list or a field may come.
@@ -139,3 +140,44 @@ def mcr_selection(rows: DataFrame, group: str, most: int = 80) -> DataFrame:
     ship(rows.sparkSession)
     kind = rows.schema[group].dataType.simpleString()
     return rows.select(group, "id", "vector").groupBy(group).applyInPandas(one, f"{group} {kind}, id long, rank_no long")
+
+
+def from_merged(items: Column) -> Column:
+    """Merged criteria as criteria of a pair: the theme with its tips, which also count as positive evidence.
+
+    Items have theme, dimension, criterion, description, tips, verification_guide (checks,
+    what_to_extract), negative_evidence, severity, rationale, reason and source_pair_ids. An item
+    without a theme is named by its first tip; without tips too, it is left out.
+    """
+    texts = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: x != "")
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+
+    def named(x: Column) -> Column:
+        theme, tips = F.coalesce(*[filled(x[k]) for k in ("theme", "dimension", "criterion", "description")]), texts(x["tips"])
+        rest = F.when(theme.isNull() & (F.size(tips) > 0), F.slice(tips, 2, F.greatest(F.size(tips), F.lit(1)))).otherwise(tips)
+        return F.struct(F.coalesce(theme, F.get(tips, F.lit(0))).alias("theme"), rest.alias("tips"), x.alias("x"))
+
+    def criterion(r: Column) -> Column:
+        x, tips = r["x"], r["tips"]
+        listed = F.when(F.size(tips) > 0, F.concat(F.lit("\nTips:\n"), F.array_join(F.transform(tips, lambda t: F.concat(F.lit("- "), t)), "\n"))).otherwise("")
+        guide = x["verification_guide"]
+        checks, extract = texts(guide["checks"]), texts(guide["what_to_extract"])
+        return F.struct(
+            F.substring(r["theme"], 1, 160).alias("dimension"), F.concat(r["theme"], listed).alias("criterion"),
+            F.when(F.size(tips) > 0, tips).when(F.size(checks) > 0, checks).otherwise(extract).alias("positive_evidence"),
+            texts(x["negative_evidence"]).alias("negative_evidence"), F.lower(F.coalesce(filled(x["severity"]), F.lit("medium"))).alias("severity"),
+            F.coalesce(filled(x["rationale"]), filled(x["reason"]), F.lit("")).alias("rationale"), guide.alias("verification_guide"), texts(x["source_pair_ids"]).alias("source_pair_ids"),
+        )
+
+    return F.transform(F.filter(F.transform(items, named), lambda r: r["theme"].isNotNull()), criterion)
+
+
+def for_members(merged: DataFrame, members: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """Members (pair_id, by, …) with the criteria of their group, and the groups that have none (JN-17, JN-18).
+
+    Members without an id or a group are left out.
+    """
+    adapted = merged.select(by, from_merged(F.col("rubrics")).alias("rubrics")).where(F.size("rubrics") > 0)
+    named = members.where((F.coalesce("pair_id", F.lit("")) != "") & (F.coalesce(by, F.lit("")) != ""))
+    missing = named.select(by).distinct().join(adapted.select(by), by, "left_anti")
+    return named.join(adapted, by).withColumn("source_group_id", F.col(by)), missing

@@ -147,3 +147,52 @@ def summaries(records: DataFrame) -> DataFrame:
         F.transform(F.filter("steps", lambda s: s["error"].isNotNull()), lambda s: F.struct(s["step_index"].alias("step_index"), s["error_type"].alias("error_type"), s["error"].alias("message"))).alias("errors"),
         cards.alias("cards"), "source_path",
     )
+
+
+# Marks of the plain-text form of a trace.
+BEFORE_STEPS, BEFORE_TREE = "The agent performed the following actions:", "The last accessibility tree is:"
+
+
+def _step_fields(block: Column, at: Column) -> Column:
+    """A step of a block of lines: its number, thought, last action and addresses."""
+    lines = F.split(block, "\n")
+    after = lambda x, mark: F.trim(F.substr(x, F.lit(len(mark) + 1)))
+    marked = lambda mark: F.transform(F.filter(lines, lambda x: x.startswith(mark)), lambda x: after(x, mark))
+    start = F.struct(F.lit(False).alias("open"), F.lit("").alias("said"))
+
+    def read(s: Column, x: Column) -> Column:
+        begins, acts = x.startswith("Reasoning:"), x.startswith("Action:")
+        words = F.when(begins, after(x, "Reasoning:")).when(s["open"] & ~acts & ~x.startswith("URL:"), x).otherwise("")
+        return F.struct((begins | (s["open"] & ~acts)).alias("open"), F.concat_ws(" ", F.nullif(s["said"], F.lit("")), F.nullif(words, F.lit(""))).alias("said"))
+
+    number = F.nullif(F.regexp_extract(F.get(lines, F.lit(0)), r"Step:\s*(\d+)", 1), F.lit(""))
+    return F.struct(
+        F.coalesce(number.try_cast("long"), at.cast("long")).alias("step_index"),
+        tx.trim_text(F.aggregate(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), start, read, lambda s: s["said"]), 1200).alias("thought"),
+        F.coalesce(F.try_element_at(marked("Action:"), F.lit(-1)), F.lit("")).alias("action"),
+        F.transform(marked("URL:"), lambda u: F.concat(F.lit("url: "), u)).alias("cues"),
+    )
+
+
+def steps_of_text(texts: DataFrame, record_id: str = "record_id", text: str = "text") -> DataFrame:
+    """Steps written as lines of Step:, URL:, Action: and Reasoning:, one row each.
+
+    Steps lie after the opening sentence, where there is one, and before the last tree, whose
+    lines become cues of the last step. Lines before the first step, blank ones and rules are
+    left out; a text without steps (or null) has no rows.
+    """
+    ship(texts.sparkSession)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    opened = F.locate(BEFORE_STEPS, whole)
+    body = F.when(opened > 0, F.substr(whole, opened + len(BEFORE_STEPS))).otherwise(whole)
+    closed = F.locate(BEFORE_TREE, body)
+    body = F.when(closed > 0, F.substr(body, F.lit(1), closed - 1)).otherwise(body)
+    tree_at = F.locate(BEFORE_TREE, whole)
+    tree = F.when(tree_at > 0, F.trim(F.substr(whole, tree_at + len(BEFORE_TREE)))).otherwise("")
+    lines = F.filter(F.transform(tx.split_lines(body), tx.strip), lambda x: (x != "") & (x != "-----"))
+    blocks = F.filter(F.split(F.array_join(lines, "\n"), r"(?m)\n?^(?=Step:)"), lambda b: b.startswith("Step:"))
+    steps = F.transform(F.transform(blocks, lambda b: F.rtrim(b)), _step_fields)
+    rows = texts.select(record_id, tree.alias("tree"), steps.alias("steps")).select(record_id, "tree", F.size("steps").alias("n"), F.posexplode("steps").alias("pos", "s"))
+    of_tree = F.when((F.col("pos") == F.col("n") - 1) & (F.col("tree") != ""), tx.clean_lines(F.col("tree"))).otherwise(F.array().cast("array<string>"))
+    out = rows.select(record_id, "pos", "s.step_index", "s.thought", "s.action", tx.ordered_distinct(F.concat("s.cues", of_tree)).alias("cues"))
+    return out.select(record_id, "pos", "step_index", "thought", "action", action_signature("action").alias("signature"), "cues")

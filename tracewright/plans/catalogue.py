@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import goals
 from ..functions import outcome as oc
 from ..functions import text as tx
 from ..functions import vector as vec
-from ..operators import clusters, models, pairs, rubrics, scoring, sequences, traces
+from ..operators import clusters, models, pairs, rubrics, scoring, sequences, tasks, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -588,3 +589,35 @@ def conversation_summaries(spark, sf_dir):
     as_variant = F.transform("x", lambda x: F.parse_json(F.to_json(x["e"])))
     records = grouped.select(F.col("conv_id").cast("string").alias("record_id"), "task", F.lit(None).cast("string").alias("outcome_text"), as_variant.alias("trace"), F.parse_json(F.lit("{}")).alias("metadata"), F.lit("").alias("source_path"))
     return traces.summaries(records).select("record_id", "outcome", "n_steps", F.size("cards").alias("n_cards"), F.size("final_cues").alias("n_final_cues"))
+
+
+@query("""
+    SELECT p_partkey, 'workarena:' || p_brand || ':' || array_to_string(string_split(lower(replace(p_type, ' ', '-')), '-')[1:3], '-') AS family,
+           CASE WHEN p_size % 2 = 0 THEN 'webarena:' || trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g'), '_') || ':unknown_eval' ELSE 'webarena.' || p_size END AS site_family
+    FROM part
+""")
+def task_family(spark, sf_dir):
+    """Families of tasks by the fields of their benchmark, else by their names (PRJ-10, PRJ-11)."""
+    name = F.lower(F.regexp_replace("p_type", " ", "-"))
+    action = tasks.task_family(F.lit("workarena"), name, {"category": F.col("p_brand")})
+    site = tasks.task_family(F.lit("webarena"), F.concat(F.lit("webarena.resized."), F.col("p_size"), F.lit(".7")), {"sites": F.when(F.col("p_size") % 2 == 0, F.col("p_brand"))})
+    return table(spark, sf_dir, "part").select("p_partkey", action.alias("family"), site.alias("site_family"))
+
+
+@query()
+def goal_terms(spark, sf_dir):
+    """Terms of each item's wording, for ranking only (STR-4)."""
+    return table(spark, sf_dir, "benchmark").select("item_id", goals.goal_terms(F.col("text")).alias("terms"))
+
+
+@query("""
+    SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text ELSE '' END AS thought, role || '()' AS action
+    FROM conversations WHERE text NOT LIKE '%:%' AND trim(text) <> '' AND regexp_replace(text, '\\s+', ' ', 'g') = text AND length(text) <= 1200
+""")
+def text_steps(spark, sf_dir):
+    """Conversations written as lines of steps, and read back (WIN-10)."""
+    said = F.col("text")
+    turns = table(spark, sf_dir, "conversations").where(~said.contains(":") & (F.trim("text") != "") & (F.regexp_replace(said, r"\s+", " ") == said) & (F.length(said) <= 1200))
+    line = F.concat_ws("\n", F.concat(F.lit("Step: "), "turn"), F.concat(F.lit("Action: "), "role", F.lit("()")), F.when(F.col("role") == "assistant", F.concat(F.lit("Reasoning: "), "text")), F.lit("-----"))
+    written = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return traces.steps_of_text(written, "conv_id").select("conv_id", F.col("step_index").alias("turn"), "thought", "action")
