@@ -358,6 +358,25 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("letters", [False, True])
+def test_every_short_passage_is_found(spark, letters):
+    rng = random.Random(20 + letters)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 9)))
+    some = lambda n: [word() for _ in range(n)] if letters else prose(rng, n).split()
+    rows, want = [], {}
+    for k in range(1500):
+        n = 51 + k % 10
+        passage = some(n) if k % 50 else ["again"] * n if k % 100 else list("ab" * 30)[:n]
+        for i in (2 * k, 2 * k + 1):
+            head = [f"h{i}x{j}" for j in range(rng.randint(0, 30))]
+            rows.append((i, " ".join([*head, *passage, *(f"t{i}x{j}" for j in range(rng.randint(0, 30)))])))
+            want[i] = (len(head), n)
+    got = defaultdict(set)
+    for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect():
+        got[r["doc_id"]] |= set(range(r["first_word"], r["end_word"]))
+    assert [i for i, (at, n) in want.items() if got[i] != set(range(at, at + n))] == []
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(11)
     t = prose(rng, 400).encode()

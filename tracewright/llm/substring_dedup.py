@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,13 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, small_batches
 
-#: Bytes of a chunk on average, and words of a passage (over 50). A run of shared chunk pairs loses
-#: a cut chunk at each end (6 words on average); runs of SEED_WORDS to SURE_WORDS are held against
-#: the other document's words.
-CHUNK_BYTES, PASSAGE_WORDS, SEED_WORDS, SURE_WORDS = 32, 51, 18, 90
+#: Words of a passage (over 50), and of them at its start those whose rolling hash may see what is before it.
+PASSAGE_WORDS, BLURRED = 51, 8
+#: Every so many neighbouring ends of words hold a cut. Two whole windows lie inside a passage, so
+#: it holds whole chunks; smaller windows make more chunks, and fewer chance runs to look at.
+CUT_WINDOW = 16
+#: Words that two documents may have alike by chance beside a passage that a smaller one holds too.
+CHANCE_WORDS = 5
 
 _TO_SPACE = bytes(32 if c < 32 else c for c in range(256))
 
@@ -34,20 +39,34 @@ def _gear(seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 GEAR = _gear()
 
 
-def cut_points(data: np.ndarray, mean: int = CHUNK_BYTES) -> np.ndarray:
-    """Ends of the chunks of some bytes.
+def cut_points(data: np.ndarray, window: int = CUT_WINDOW) -> np.ndarray:
+    """Ends of the chunks of some bytes: of any `window` neighbouring ends of words, the one of the smallest rolling hash.
 
     The rolling hash doubles and adds a byte's value; its 16 low bits depend on the last 16 bytes
-    only, so chunks fall into step 16 bytes after an insertion. They are found for all positions
-    at once by doubling the window.
+    only (ends that have fewer before them are no cuts). It is found for all positions at once by
+    doubling its length, and so is the smallest of a window, the last one of equals. A chunk has
+    `window` words at most, except at the ends, and the cuts inside a stretch are those of any
+    other text that holds it, from the smallest of its first window to that of its last.
     """
     if not len(data):
         return np.zeros(0, np.int64)
     h = GEAR[data]
     for k in (1, 2, 4, 8):
         h[k:] = h[k:] + (h[:-k] << np.uint16(k))
-    ends = np.flatnonzero(h < 65536 // mean) + 1
-    return ends if len(ends) and ends[-1] == len(data) else np.r_[ends, len(data)]
+    black = data > 32
+    ends = np.flatnonzero(black & ~np.r_[black[1:], False]) + 1
+    ends = ends[ends >= 16]
+    n = len(ends)
+    cuts = ends[:0]
+    if n >= window:
+        least = h[ends - 1].astype(np.int64) << 32 | (n - 1 - np.arange(n))
+        span = 1
+        while span < window:
+            step = min(span, window - span)
+            least = np.minimum(least[:-step], least[step:])
+            span += step
+        cuts = ends[np.unique(n - 1 - (least & 0xFFFFFFFF))]
+    return cuts if len(cuts) and cuts[-1] == len(data) else np.r_[cuts, len(data)]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,25 +74,18 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_TO_SPACE).split()
 
 
-def chunk_pairs(text: str, mean: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of neighbouring chunks, and the words before and up to the end of the two.
-
-    White space counts as one space. A text of one chunk has one digest, of that chunk.
-    """
+def chunks_of(text: str, window: int = CUT_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of chunks, and the words before and up to the end of each. White space counts as one space."""
     raw = b" ".join(words_of(text))
     data = np.frombuffer(raw, np.uint8)
-    ends = cut_points(data, mean)
+    ends = cut_points(data, window)
     if not len(ends):
         return np.zeros(0, np.int64), ends, ends
     starts = np.r_[0, ends[:-1]]
     digests = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(ends))
     black = data > 32
     before = np.r_[0, np.cumsum(black & ~np.r_[False, black[:-1]])]
-    if len(ends) == 1:
-        return digests.view(np.int64), before[starts], before[ends]
-    x = digests[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (digests[1:] * np.uint64(0x9FB21C651E98DF25) >> np.uint64(1))
-    x ^= x >> np.uint64(31)
-    return (x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), before[starts[:-1]], before[ends[1:]]
+    return digests.view(np.int64), before[starts], before[ends]
 
 
 def named_by_id(docs: DataFrame) -> DataFrame:
@@ -81,15 +93,15 @@ def named_by_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), -1 - F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("id"), "text")
 
 
-def digests_of(docs: DataFrame, mean: int = CHUNK_BYTES) -> DataFrame:
-    """(key, id, at, w0, w1): digests of all texts' neighbouring chunks and where they are."""
+def digests_of(docs: DataFrame, window: int = CUT_WINDOW) -> DataFrame:
+    """(key, id, at, w0, w1): digests of all texts' chunks and where they are."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 b = whole.slice(lo, 64)
-                got = [chunk_pairs(t or "", mean) for t in b.column("text").to_pylist()]
+                got = [chunks_of(t or "", window) for t in b.column("text").to_pylist()]
                 n = [len(k) for k, _, _ in got]
                 ids = np.repeat(b.column("id").to_numpy(), n)
                 at = np.concatenate([np.arange(k) for k in n])
@@ -101,90 +113,116 @@ def digests_of(docs: DataFrame, mean: int = CHUNK_BYTES) -> DataFrame:
     return named_by_id(docs).mapInArrow(run, "key long, id long, at int, w0 int, w1 int")
 
 
-def common_words(mine: list[bytes], theirs: list[bytes], lo: int, hi: int, words: int) -> tuple[int, int]:
-    """The longest stretch of my words around lo to hi that they hold too; the first that has so many words."""
-    core = mine[lo:hi]
-    if not core:
-        return lo, lo
-    joined, best = b" " + b" ".join(theirs) + b" ", (lo, lo)
-    key = b" " + b" ".join(core) + b" "
-    at = joined.find(key)
-    while at >= 0:
-        k = joined.count(b" ", 0, at)
-        a, b, x, y = lo, hi, k, k + len(core)
-        while a and x and mine[a - 1] == theirs[x - 1]:
-            a, x = a - 1, x - 1
-        while b < len(mine) and y < len(theirs) and mine[b] == theirs[y]:
-            b, y = b + 1, y + 1
-        if b - a > best[1] - best[0]:
-            best = (a, b)
-        if b - a >= words:
-            break
-        at = joined.find(key, at + 1)
-    return best
-
-
-def verify_runs(runs: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """(id, first_word, end_word, kept_in) of the passages in runs that prove none by their length.
-
-    A run has up to three chunk pairs as anchors, each with two of the documents that hold it; my
-    words and theirs are compared from there to both sides.
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    odd = 0x9FB21C651E98DF25
+    return tuple(np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in (odd, pow(odd, -1, 1 << 64)))
+
+
+def stretch_hashes(text: str, words: int, zones: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the stretches of `words` words that begin in zones (both ends included), and where they begin."""
+    split = words_of(text)
+    n = len(split)
+    wanted = np.zeros(max(0, n - words + 1), bool)
+    for lo, hi in zones:
+        wanted[max(lo, 0) : max(hi + 1, 0)] = True
+    at = np.flatnonzero(wanted)
+    if not len(at):
+        return np.zeros(0, np.int64), at
+    power, inverse = _powers(1 << n.bit_length())
+    sums = np.r_[np.uint64(0), np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, n) * power[:n])]
+    x = (sums[at + words] - sums[at]) * inverse[at]
+    x ^= x >> np.uint64(31)
+    return (x * np.uint64(0xD6E8FEB86659FD93)).view(np.int64), at
+
+
+def stretches(zones: DataFrame, named: DataFrame, words: int) -> DataFrame:
+    """(gram, id, at, first): hashes of stretches in zones, where they are, and where their document has them first.
+
+    Places count from a number of the text, so that places of two texts of one id are never neighbours.
     """
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for i, r, lo, hi, kept, x, y in zip(*(b.column(c).to_pylist() for c in ("id", "run", "w0", "w1", "kept_in", "my_text", "their_text")), strict=True):
-                first, end = common_words(words_of(x or ""), words_of(y or ""), lo, max(lo + 1, hi - 1), words)
-                if end - first >= words:
-                    out.append((i, r, first, end, kept))
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["id", "run", "first_word", "end_word", "kept_in"])
-
-    each = runs.select("id", "run", "kept_in", F.explode(F.array("longest", "first", "last")).alias("a"))
-    each = each.select("id", "run", "kept_in", "a.w0", "a.w1", F.explode(F.array("a.least", "a.most")).alias("their_id")).where("their_id <> id")
-    each = each.groupBy("id", "run", "kept_in", "their_id").agg(F.max_by(F.struct("w0", "w1"), F.col("w1") - F.col("w0")).alias("a")).select("id", "run", "kept_in", "their_id", "a.w0", "a.w1")
-    # both are renamed, so that Spark sees one exchange of texts and uses it twice
-    mine = named.select(F.col("id").alias("my_id"), F.col("text").alias("my_text"))
-    theirs = named.select(F.col("id").alias("their_id"), F.col("text").alias("their_text"))
-    both = each.join(mine, F.col("id") == F.col("my_id")).drop("my_id").join(theirs, "their_id")
-    found = both.mapInArrow(compare, "id long, run int, first_word int, end_word int, kept_in long")
-    best = found.groupBy("id", "run").agg(F.max_by(F.struct("first_word", "end_word", "kept_in"), F.struct(F.col("end_word") - F.col("first_word"), -F.col("first_word"))).alias("b"))
-    return best.select("id", "b.first_word", "b.end_word", "b.kept_in")
-
-
-def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS, mean: int = CHUNK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 64):
+                b = whole.slice(lo, 64)
+                cols: list[list[np.ndarray]] = [[], [], [], []]
+                for i, text, spans in zip(*(b.column(c).to_pylist() for c in ("id", "text", "zones")), strict=True):
+                    gram, at = stretch_hashes(text or "", words, [(z["lo"], z["hi"]) for z in spans])
+                    if len(at):
+                        at = at + ((xxhash.xxh32_intdigest(text.encode()) >> 1) << 32)
+                        _, first, same = np.unique(gram, return_index=True, return_inverse=True)
+                        for col, x in zip(cols, (gram, np.full(len(at), i, np.int64), at, at[first][same]), strict=True):
+                            col.append(x)
+                if cols[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "id", "at", "first"])
+
+    of = zones.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("zones"))
+    return of.join(named, "id").mapInArrow(run, "gram long, id long, at long, first long")
+
+
+def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     """Passages of `words` words or more that several documents hold: doc_id, first_word, end_word, n_words, kept_in, kept.
 
-    A run of neighbouring chunk pairs that other documents hold too is a passage, if it has
-    SURE_WORDS words; a shorter run may be one cut at its ends, or some by chance side by side,
-    and is one if so many words around it are also in another document that holds its chunks.
-    Words lie between white space. kept_in is the smallest id that holds a part of it; kept marks
-    the passage of that document. Documents are told apart by their id, so rows with equal ids
-    share nothing with each other; a null id is replaced by a negative hash of the text. Null and
-    empty texts have no chunks. Digests are counted with partial sums before the shuffle, and
-    only shared ones are joined back, so that Spark splits a very common passage.
+    Whatever its hash, a stretch of so many words has cuts in its first and its last window, and
+    all chunks between them are chunks of every document that holds it. So only stretches about
+    runs of shared chunks can be shared; each of those is hashed (64 bits), and the hashes that
+    several documents hold are found by partial sums, whoever and however many they are. None is
+    missed. Neighbouring stretches make a passage while the smallest document that holds them
+    (for that one itself, the largest) has them side by side too, so that each passage lies in
+    one piece in that other document. Passages of a document may overlap where the other changes;
+    one that adds up to CHANCE_WORDS words to those of smaller keepers is left out.
+
+    Words lie between white space. kept_in is the smallest id that holds the passage; kept marks
+    the passages of that document, which cover all that others hold of it. Documents are told
+    apart by their id, so rows with equal ids share nothing with each other; a null id is
+    replaced by a negative hash of the text. Null and empty texts have no chunks.
     """
+    window = min(CUT_WINDOW, (words - BLURRED) // 2)
+    if window < 1:
+        raise ValueError(f"a passage has {BLURRED + 2} words at least")
     scratch = Scratch(docs.sparkSession, "passages")
-    rows = digests_of(docs, mean)
-    shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most")
-    found = rows.join(shared, "key")
-    in_doc = Window.partitionBy("id").orderBy("at")
-    marked = found.select("id", "at", "w0", "w1", "least", "most").withColumn("run", (F.col("at") - F.dense_rank().over(in_doc)).cast("int"))
-    anchor = F.struct("w0", "w1", "least", "most")
-    runs = scratch.keep(
-        marked.groupBy("id", "run")
-        .agg(
-            F.min("w0").alias("first_word"),
-            F.max("w1").alias("end_word"),
-            F.min("least").alias("kept_in"),
-            F.max_by(anchor, F.col("w1") - F.col("w0")).alias("longest"),
-            F.min_by(anchor, "at").alias("first"),
-            F.max_by(anchor, "at").alias("last"),
-        )
-        .where(F.col("end_word") - F.col("first_word") >= SEED_WORDS)
+    rows = digests_of(docs, window)
+    shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key")
+    found = rows.join(shared, "key").select("id", "at", "w0", "w1")
+    marked = found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy("id").orderBy("at")))
+    runs = marked.groupBy("id", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"))
+    # where a stretch may begin whose chunks, from the first window's cut to the last one's, are in the run
+    zones = runs.select("id", (F.col("w0") - BLURRED - window).alias("lo"), (F.col("w1") - words - 1 + window).alias("hi")).where("hi >= lo and hi >= 0")
+    grams = stretches(scratch.keep(zones), named_by_id(docs), words)
+    held = (
+        grams.groupBy("gram")
+        .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("first", "id").alias("least_at"), F.max_by("first", "id").alias("most_at"))
+        .where("least <> most")
     )
-    length = F.col("end_word") - F.col("first_word")
-    sure = runs.where(length >= SURE_WORDS).select("id", "first_word", "end_word", "kept_in")
-    out = sure.unionByName(verify_runs(runs.where(length < SURE_WORDS), named_by_id(docs), words)).distinct()
-    return out.select(F.col("id").alias("doc_id"), "first_word", "end_word", length.alias("n_words"), "kept_in", (F.col("id") == F.col("kept_in")).alias("kept"))
+    mine = F.col("id") == F.col("least")
+    other, other_at = (F.when(mine, F.col(f"most{x}")).otherwise(F.col(f"least{x}")) for x in ("", "_at"))
+    placed = grams.select("gram", "id", "at").join(held, "gram").select("id", "at", other.alias("other"), (other_at - F.col("at")).alias("shift"))
+    beside = Window.partitionBy("id", "other", "shift").orderBy("at")
+    pieces = placed.withColumn("piece", F.col("at") - F.dense_rank().over(beside)).groupBy("id", "other", "shift", "piece").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    found = pieces.select("id", F.shiftright("lo", 32).alias("copy"), F.struct(F.least("id", "other").alias("kept_in"), place("lo").alias("first"), (place("hi") + words).alias("end")).alias("p"))
+    out = without_chance(found.groupBy("id", "copy").agg(F.collect_set("p").alias("p"))).distinct()
+    return out.select("doc_id", "first_word", "end_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "kept_in", (F.col("doc_id") == F.col("kept_in")).alias("kept"))
+
+
+def without_chance(found: DataFrame) -> DataFrame:
+    """(doc_id, first_word, end_word, kept_in): passages, less those of up to CHANCE_WORDS words beyond the ones that smaller ids keep."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for i, p in zip(b.column("id").to_pylist(), b.column("p").to_pylist(), strict=True):
+                told = np.zeros(max(x["end"] for x in p), bool)
+                p.sort(key=lambda x: x["kept_in"])
+                for kept_in, same in groupby(p, key=lambda x: x["kept_in"]):
+                    new = [(x["first"], x["end"]) for x in same]
+                    new = [(lo, hi) for lo, hi in new if hi - lo - np.count_nonzero(told[lo:hi]) > CHANCE_WORDS]
+                    for lo, hi in new:
+                        told[lo:hi] = True
+                        out.append((i, lo, hi, kept_in))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], ["doc_id", "first_word", "end_word", "kept_in"])
+
+    return found.mapInArrow(run, "doc_id long, first_word int, end_word int, kept_in long")
