@@ -377,6 +377,18 @@ def test_every_short_passage_is_found(spark, letters):
     assert [i for i, (at, n) in want.items() if got[i] != set(range(at, at + n))] == []
 
 
+def test_passage_of_two_common_lines(spark):
+    rng = random.Random(22)
+    one, two, long_one, long_two = (prose(rng, n) for n in (30, 30, 45, 45))
+    own = lambda i, n=40: " ".join(f"d{i}x{k}" for k in range(n))
+    rows = [(i, f"{own(i)} {(one, two)[i % 2]} {own(-i)}") for i in [*range(1, 40), *range(51, 400)]]
+    rows += [(i, f"{own(i)} {one} {two} {own(-i)}") for i in (40, 50)]
+    # two halves that no single other document holds side by side
+    rows += [(500, f"{own(500)} {long_one} {long_two}"), *((i, f"{own(i)} {long_one} {own(-i)}") for i in (501, 502)), *((i, f"{own(i)} {long_two} {own(-i)}") for i in (503, 504))]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["first_word"], r["end_word"], r["kept_in"]) for r in got} == {(40, 40, 100, 40), (50, 40, 100, 40)}
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(11)
     t = prose(rng, 400).encode()
