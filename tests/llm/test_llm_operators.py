@@ -389,6 +389,28 @@ def test_passage_of_two_common_lines(spark):
     assert {(r["doc_id"], r["first_word"], r["end_word"], r["kept_in"]) for r in got} == {(40, 40, 100, 40), (50, 40, 100, 40)}
 
 
+def test_keeper_holds_the_whole_passage(spark):
+    rng = random.Random(23)
+    whole = prose(rng, 100).split()
+    phrase, part = " ".join(whole[40:55]), " ".join(whole[:60])
+    own = lambda i: " ".join(f"d{i}x{k}" for k in range(40))
+    rows = [(1, f"{own(1)} {phrase} {own(-1)}"), (5, f"{own(5)} {' '.join(whole)} {own(-5)}"), (9, f"{own(9)} {' '.join(whole)} {own(-9)}")]
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["first_word"], r["end_word"], r["kept_in"], r["kept"]) for r in got} == {(5, 40, 140, 5, True), (9, 40, 140, 5, False)}
+    # document 2 holds the first 60 words: each passage lies whole in its one keeper, which keeps all of it
+    rows.append((2, f"{own(2)} {part} {own(-2)}"))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    texts = {i: t.split() for i, t in rows}
+    kept = defaultdict(list)
+    for r in got:
+        if r["kept"]:
+            kept[r["doc_id"]].append(" ".join(texts[r["doc_id"]][r["first_word"] : r["end_word"]]))
+    for r in got:
+        passage = " ".join(texts[r["doc_id"]][r["first_word"] : r["end_word"]])
+        assert [i for i, held in kept.items() if any(passage in x for x in held)] == [r["kept_in"]]
+    assert {r["kept_in"] for r in got} == {2, 5}
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(11)
     t = prose(rng, 400).encode()
