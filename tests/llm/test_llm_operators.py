@@ -463,6 +463,15 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_ids_of_every_letter_below_256():
+    path = queries.tokenizer("word_bpe_49k.json")
+    enc = packing.ChunkEncoder(path, 2)
+    letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+    texts = [t for c in letters for t in (c, f"n{c}", f"{c}m", f"N{c}.", f"{c}{c},", f"a{c}é")]
+    want = [[*enc.tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [np.frombuffer(b, enc.dtype).tolist() for b in enc.encode(texts)] == want
+
+
 def test_first_fit_decreasing():
     tree = packing.Tournament(5, 10)
     assert [tree.take(n) for n in (7, 6, 4, 3, 9)] == [0, 1, 1, 0, 2]

@@ -48,7 +48,7 @@ class ChunkEncoder:
         from tokenizers import pre_tokenizers
 
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.byte_level = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.byte_level = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x100)}
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
