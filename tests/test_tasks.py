@@ -1,10 +1,14 @@
 """Task families, metadata and annotations, goal terms, steps in plain text, quotas, merged criteria."""
 
+import re
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewright.functions import cues, goals
 from tracewright.operators import rubrics, tasks, traces
+from tracewright.plans import QUERIES
 
 
 def test_action_families(spark):
@@ -90,6 +94,38 @@ button 'Buy'"""
     assert got[1]["signature"]["target_text"] == "x"
 
 
+def read_steps(text):
+    """(number, thought, action) of each step, line by line."""
+    out = []
+    for line in (x.strip() for x in text.splitlines()):
+        if line.startswith("Step:"):
+            number = re.match(r"Step:\s*(\d+)", line)
+            out.append([int(number[1]) if number else len(out), [], "", False])
+        elif out and line not in ("", "-----"):
+            step = out[-1]
+            if line.startswith("Action:"):
+                step[2], step[3] = line[7:].strip(), False
+            elif line.startswith("Reasoning:"):
+                step[1].append(line[10:].strip())
+                step[3] = True
+            elif step[3] and not line.startswith("URL:"):
+                step[1].append(line)
+    said = [" ".join(x for x in s[1] if x) for s in out]
+    return [(s[0], t if len(t) <= 1200 else t[:1160].rstrip() + "\n...[truncated]...", s[2]) for s, t in zip(out, said, strict=True)]
+
+
+def test_steps_of_all_turns_equal_a_parser_by_lines(spark):
+    data = "/root/testdata/sf0.01"
+    turns = spark.read.parquet(f"{data}/conversations.parquet").collect()
+    written = defaultdict(str)
+    for r in sorted(turns, key=lambda r: (r["conv_id"], r["turn"])):
+        said = f"Reasoning: {r['text']}\n" if r["role"] == "assistant" and r["text"] is not None else ""
+        written[r["conv_id"]] += f"Step: {r['turn']}\nAction: {r['role']}()\n{said}-----\n"
+    want = Counter((i, *s) for i, text in written.items() for s in read_steps(text))
+    got = Counter((r["conv_id"], r["turn"], r["thought"], r["action"]) for r in QUERIES["text_steps_whole"](spark, data).collect())
+    assert got == want and sum(got.values()) >= len(turns) and any("truncated" in r[2] for r in got)
+
+
 def test_segmented_cues(spark):
     segments = [("head", ["a", " ", "b", "c"]), ("", ["d"]), ("tail", [])]
     df = spark.createDataFrame([(segments,), ([],)], "s array<struct<section:string,cues:array<string>>>")

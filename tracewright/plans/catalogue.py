@@ -610,14 +610,24 @@ def goal_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", goals.goal_terms(F.col("text")).alias("terms"))
 
 
+def _steps_written_and_read(turns):
+    line = F.concat_ws("\n", F.concat(F.lit("Step: "), "turn"), F.concat(F.lit("Action: "), "role", F.lit("()")), F.when(F.col("role") == "assistant", F.concat(F.lit("Reasoning: "), "text")), F.lit("-----"))
+    written = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return traces.steps_of_text(written, "conv_id").select("conv_id", F.col("step_index").alias("turn"), "thought", "action")
+
+
 @query("""
     SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text ELSE '' END AS thought, role || '()' AS action
     FROM conversations WHERE text NOT LIKE '%:%' AND trim(text) <> '' AND regexp_replace(text, '\\s+', ' ', 'g') = text AND length(text) <= 1200
 """)
 def text_steps(spark, sf_dir):
-    """Conversations written as lines of steps, and read back (WIN-10)."""
+    """Turns of one plain line in conversations, written as lines of steps and read back (WIN-10); text_steps_whole takes all turns."""
     said = F.col("text")
     turns = table(spark, sf_dir, "conversations").where(~said.contains(":") & (F.trim("text") != "") & (F.regexp_replace(said, r"\s+", " ") == said) & (F.length(said) <= 1200))
-    line = F.concat_ws("\n", F.concat(F.lit("Step: "), "turn"), F.concat(F.lit("Action: "), "role", F.lit("()")), F.when(F.col("role") == "assistant", F.concat(F.lit("Reasoning: "), "text")), F.lit("-----"))
-    written = turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
-    return traces.steps_of_text(written, "conv_id").select("conv_id", F.col("step_index").alias("turn"), "thought", "action")
+    return _steps_written_and_read(turns)
+
+
+@query()
+def text_steps_whole(spark, sf_dir):
+    """All turns of conversations written as lines of steps, and read back: joined lines and trims too, which no SQL here states (WIN-10)."""
+    return _steps_written_and_read(table(spark, sf_dir, "conversations"))
