@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 from .components import connected_components, spanning
 
-#: Least cosine, dimensions of a subspace, and vectors of a cell's tile.
-COSINE, BLOCK_DIMS, TILE = 0.95, 8, 32_768
-#: What the budgets are widened by, for the rounding of single precision.
-SLACK = 1e-4
+#: Least cosine, dimensions of a subspace, and rows of a cell's tile.
+COSINE, BLOCK_DIMS, TILE = 0.95, 16, 8_192
+#: Dimensions of a subspace that name its cells at most, and vectors whose medians the cells are halved at.
+MOST_BITS, SAMPLE = 12, 4_096
+#: What the budgets are widened by, for the rounding of coordinates to multiples of 2^-20.
+SLACK, GRID = 1e-4, 1 << 20
+#: Home rows and other rows that are compared at once, and the share of near pairs from which they are worked out as matrices.
+FEW, MANY, DENSE = 256, 2_048, 0.01
 
 
 def rotation(dims: int, seed: int = 13) -> np.ndarray:
@@ -36,7 +40,7 @@ def budgets(dims: int, cosine: float, width: int = BLOCK_DIMS) -> np.ndarray:
     subspace were over its share, the whole would be over.
     """
     whole = 2 - 2 * cosine
-    return np.array([whole * (hi - lo) / dims for lo, hi in blocks_of(dims, width)]) + SLACK * (2 - 2 * cosine)
+    return np.array([whole * (hi - lo) / dims for lo, hi in blocks_of(dims, width)]) + SLACK * whole
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -44,53 +48,131 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def cells(y: np.ndarray, radius: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """(rows, cell x, cell y, home) of points by their first two coordinates.
+def bits_for(rows: int, cell_rows: int, most: int) -> int:
+    """Halvings after which a cell has so many rows, about."""
+    return min(most, max(0, int(np.ceil(np.log2(max(1.0, rows / cell_rows))))))
 
-    Each point has a home cell of side 2 radius, and probes the larger neighbouring cells that
-    lie within the radius; two points within the radius so meet in the larger one's home.
+
+def code_of(p: np.ndarray) -> np.ndarray:
+    """The orthant of each point."""
+    return (p > 0) @ (1 << np.arange(p.shape[1])) if p.shape[1] else np.zeros(len(p), np.int64)
+
+
+def apart_from(p: np.ndarray, code: np.ndarray, cell: int) -> np.ndarray:
+    """Squared distance of points, whose orthants are known, to an orthant."""
+    bits = np.arange(p.shape[1])
+    return (p**2 * ((code[:, None] ^ cell) >> bits & 1)).sum(1)
+
+
+def cells(p: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(rows, cell, home): the orthant of each point, and those of a larger number within the distance.
+
+    Of two points within the distance in different orthants, the one of the smaller number so
+    meets the other in the other's home; within one orthant they meet at home.
     """
-    side = 2 * radius
-    p = y[:, :2] if y.shape[1] > 1 else np.c_[y, np.zeros(len(y))]
-    c = np.floor(p / side).astype(np.int64)
-    every = np.arange(len(y))
-    out = [(every, c[:, 0], c[:, 1], True)]
-    for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1)):
-        to = c + (dx, dy)
-        gap = np.maximum(0, np.maximum(to * side - p, p - (to + 1) * side))
-        near = np.flatnonzero((gap**2).sum(1) <= radius**2 * 1.0001)
-        out.append((near, to[near, 0], to[near, 1], False))
-    return out
-
-
-def link_cell(x: np.ndarray, home: np.ndarray, block: int, cosine: float, rot: np.ndarray, width: int = BLOCK_DIMS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows whose first subspace within its budget is this one, and whose cosine suffices.
-
-    Home rows meet each other and the probes. The subspace's distances filter, then cosines in
-    double precision decide.
+    home, bits = code_of(p), np.arange(p.shape[1])
+    yield np.arange(len(p)), home, True
+    flips = np.arange(1, 1 << p.shape[1])
+    for lo in range(0, len(flips), 256):
+        x = flips[lo : lo + 256]
+        rows, k = np.nonzero(p**2 @ (x[:, None] >> bits & 1).T.astype(float) <= most + 1e-5)
+        to = home[rows] ^ x[k]
+        up = to > home[rows]
+        if up.any():
+            yield rows[up], to[up], False
+
+
+class Linker:
+    """Links of a cell's rows whose first subspace within its budget is this one.
+
+    Coordinates are rounded to a grid, so that squared distances are whole numbers that double
+    precision holds exactly: any task decides alike which subspace is a pair's first. Cosines
+    are those of the vectors themselves.
     """
-    u = unit(x)
-    y = u @ rot
-    lo, hi = blocks_of(x.shape[1], width)[block]
-    part, most = y[:, lo:hi].astype(np.float32), budgets(x.shape[1], cosine, width)
-    inside = np.flatnonzero(home)
-    square = (part**2).sum(1)
-    for at in range(0, len(x), 1024):
-        q = np.arange(at, min(at + 1024, len(x)))
-        for base in range(0, len(inside), 4096):
-            i = inside[base : base + 4096]
-            d = square[q][:, None] + square[i][None] - 2 * (part[q] @ part[i].T)
-            a, b = np.nonzero(d <= most[block])
-            a, b = q[a], i[b]
-            keep = ~home[a] | (a < b)
-            a, b = a[keep], b[keep]
-            if len(a):
-                good = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
-                a, b = a[good], b[good]
-            if len(a):
-                apart = np.add.reduceat((y[a] - y[b]) ** 2, [s for s, _ in blocks_of(x.shape[1], width)], axis=1)
-                first = (apart <= most).argmax(1) == block
-                yield a[first], b[first]
+
+    def __init__(self, x: np.ndarray, weight: np.ndarray, block: int, cell: int, bits: int, centre: np.ndarray, cosine: float, width: int):
+        self.u, self.weight, self.block, self.cosine = unit(x), weight, block, cosine
+        dims = x.shape[1]
+        y = self.u @ rotation(dims)
+        self.q, self.spans = np.rint(y * GRID), blocks_of(dims, width)
+        real = budgets(dims, cosine, width)
+        self.most, self.most_real = np.floor(real * GRID**2), real[block]
+        lo, hi = self.spans[block]
+        p = y[:, lo:hi] - centre[lo:hi]
+        self.low = apart_from(p[:, :bits], code_of(p[:, :bits]), cell)
+        self.fine = p[:, bits:]
+        self.sums, self.edges = np.zeros(len(x), np.int64), []
+
+    def distance(self, a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
+        lo, hi = self.spans[block]
+        p, q = self.q[a, lo:hi], self.q[b, lo:hi]
+        left = np.c_[p, (p**2).sum(1), np.ones(len(p))]
+        return left @ np.c_[-2 * q, np.ones(len(q)), (q**2).sum(1)].T
+
+    def tile(self, a: np.ndarray, b: np.ndarray, upper: bool) -> None:
+        """Rows a against rows b; if upper, both are the same and each pair counts once."""
+        near = self.distance(a, b, self.block) <= self.most[self.block]
+        if upper:
+            near &= np.tri(len(a), len(b), -1, dtype=bool).T
+        found = np.count_nonzero(near)
+        if not found:
+            return
+        if found < DENSE * near.size:
+            i, j = np.nonzero(near)
+            i, j = a[i], b[j]
+            for k in range(self.block):
+                lo, hi = self.spans[k]
+                first = ((self.q[i, lo:hi] - self.q[j, lo:hi]) ** 2).sum(1) > self.most[k]
+                i, j = i[first], j[first]
+            good = np.einsum("ij,ij->i", self.u[i], self.u[j]) >= self.cosine
+            i, j = i[good], j[good]
+            np.add.at(self.sums, i, self.weight[j])
+            np.add.at(self.sums, j, self.weight[i])
+            self.edges += zip(i.tolist(), j.tolist(), strict=True)
+        else:
+            for k in range(self.block):
+                near &= self.distance(a, b, k) > self.most[k]
+            near &= self.u[a] @ self.u[b].T >= self.cosine
+            self.sums[a] += near @ self.weight[b]
+            self.sums[b] += self.weight[a] @ near
+            self.edges += forest(near, a, b)
+        if len(self.edges) > 200_000:
+            self.edges = spanning(self.edges)
+
+    def scan(self, a: np.ndarray, homes: np.ndarray, same: bool) -> None:
+        """Rows a against home rows, which if same meet each other too. Finer orthants leave out most pairs."""
+        if not len(homes):
+            return
+        p = self.fine[:, : bits_for(len(homes), FEW, self.fine.shape[1])]
+        code = code_of(p)
+        homes = homes[np.argsort(code[homes], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, np.diff(code[homes]) != 0, True])
+        for s, e in zip(edges, edges[1:], strict=False):
+            others = np.r_[homes[:s], a] if same else a
+            low = self.low[others] + apart_from(p[others], code[others], int(code[homes[s]]))
+            others = others[low <= self.most_real + 1e-5]
+            for at in range(s, e, FEW):
+                b = homes[at : min(at + FEW, e)]
+                for lo in range(0, len(others), MANY):
+                    self.tile(others[lo : lo + MANY], b, False)
+                if same:
+                    for lo in range(s, at, FEW):
+                        self.tile(homes[lo : lo + FEW], b, False)
+                    self.tile(b, b, True)
+
+
+def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from linked rows to one column of their component, by smallest labels."""
+    n = len(b)
+    of_row, of_col = np.full(len(a), n), np.arange(n)
+    while True:
+        row = np.minimum(of_row, np.where(near, of_col[None], n).min(1))
+        col = np.minimum(of_col, np.where(near, row[:, None], n).min(0))
+        if (row == of_row).all() and (col == of_col).all():
+            break
+        of_row, of_col = row, col
+    rows, cols = np.flatnonzero(of_row < n), np.flatnonzero(of_col < np.arange(n))
+    return [*zip(a[rows].tolist(), b[of_row[rows]].tolist(), strict=True), *zip(b[cols].tolist(), b[of_col[cols]].tolist(), strict=True)]
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLOCK_DIMS, tile: int = TILE) -> DataFrame:
@@ -100,8 +182,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
     vectors are one node with a weight. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, as do vectors of different lengths. Null ids keep their rows
     and never name a component that has an id; repeated ids are rows of their own.
-    Every pair meets in at least one subspace. Cells are cut into tiles of a bounded number of
-    home vectors; a task returns sums and a spanning forest, not all pairs.
+    Every pair meets in at least one subspace. A subspace is halved at the medians of a sample, in
+    as many dimensions as make cells of about `tile` rows; a vector visits the cells within the
+    budget of it. Cells of more rows, whatever makes them, are dealt to tasks as pairs of tiles;
+    a task returns sums and a spanning forest, not all pairs.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -121,61 +205,79 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
     kind = vectors.schema["vec_id"].dataType.simpleString()
     table = scratch.keep(vectors.select("vec_id", "embedding").mapInArrow(read, f"vec_id {kind}, node long, raw binary"))
     nodes = scratch.keep(table.where("node is not null").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("least")))
-    size = nodes.count()
-    # rotated unit vectors have coordinates near 0: a cell of the middle holds a quarter of them at most
-    tiles = max(1, -(-size // (4 * tile)))
+    bits = bits_for(nodes.count(), tile, MOST_BITS)
+    sample: dict[int, list[np.ndarray]] = {}
+    for r in nodes.select("node", "raw").orderBy("node").limit(SAMPLE).collect():  # names are hashes
+        x = np.frombuffer(r["raw"], code)
+        sample.setdefault(len(x), []).append(x)
+    centres = {n: np.median(unit(np.stack(x)) @ rotation(n), axis=0) for n, x in sample.items()}
+
+    def placed_in(raw: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        """dims, block, rows, cell, home."""
+        lengths = np.array([len(r) for r in raw])
+        for n in np.unique(lengths):
+            of = np.flatnonzero(lengths == n)
+            x = np.frombuffer(b"".join(raw[i] for i in of), code).reshape(len(of), -1)
+            dims = x.shape[1]
+            y, most = unit(x) @ rotation(dims) - centres.get(dims, np.zeros(dims)), budgets(dims, cosine, width)
+            for k, (lo, hi) in enumerate(blocks_of(dims, width)):
+                for rows, cell, home in cells(y[:, lo : min(hi, lo + bits)], most[k]):
+                    yield dims, k, of[rows], cell, home
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for dims, k, _, cell, _ in placed_in(b.column("raw").to_pylist()):
+                at, n = np.unique(cell, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dims)), pa.array(np.full(len(at), k)), pa.array(at), pa.array(n)], ["dims", "block", "cell", "n"])
+
+    # at most blocks times 2^MOST_BITS cells for each length of vectors
+    sizes = nodes.select("raw").mapInArrow(count, "dims long, block long, cell long, n long").groupBy("dims", "block", "cell").agg(F.sum("n").alias("n"))
+    tiles = {(r["dims"], r["block"], r["cell"]): -(-r["n"] // tile) for r in sizes.where(F.col("n") > tile).collect()}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw, node = b.column("raw").to_pylist(), b.column("node").to_numpy()
-            weight = b.column("weight").to_numpy()
-            lengths = np.array([len(r) for r in raw])
-            for n in np.unique(lengths):
-                of = np.flatnonzero(lengths == n)
-                x = np.frombuffer(b"".join(raw[i] for i in of), code).reshape(len(of), -1)
-                dims = x.shape[1]
-                y, most = unit(x) @ rotation(dims), budgets(dims, cosine, width)
-                for k, (lo, hi) in enumerate(blocks_of(dims, width)):
-                    for rows, cx, cy, home in cells(y[:, lo:hi], float(np.sqrt(most[k]))):
-                        for t in range(tiles):
-                            mine = node[of[rows]] % tiles == t
-                            for role in (True, False) if home else (False,):
-                                pick = mine if role else ~mine if home else np.ones(len(rows), bool)
-                                r = rows[pick]
-                                if len(r):
-                                    full = lambda v, r=r: pa.array(np.full(len(r), v, np.int64))
-                                    # a home vector of another tile probes this one; of two tiles, the smaller probes the larger
-                                    if home and not role:
-                                        r = r[node[of[r]] % tiles < t]
-                                        pick = np.isin(rows, r)
-                                        if not len(r):
-                                            continue
-                                        full = lambda v, r=r: pa.array(np.full(len(r), v, np.int64))
-                                    yield pa.RecordBatch.from_arrays(
-                                        [full(dims), full(k), pa.array(cx[pick]), pa.array(cy[pick]), full(t), pa.array(np.full(len(r), role)), pa.array(node[of[r]]), pa.array(weight[of[r]]), pa.array([raw[i] for i in of[r]], pa.binary())],
-                                        ["dims", "block", "cx", "cy", "tile", "home", "node", "weight", "raw"],
-                                    )
+            raw, node, weight = b.column("raw").to_pylist(), b.column("node").to_numpy(), b.column("weight").to_numpy()
+            for dims, k, rows, cell, home in placed_in(raw):
+                parts = np.array([tiles.get((dims, k, c), 1) for c in cell.tolist()]) if tiles else np.ones(len(cell), np.int64)
+                mine = node[rows] % parts
+                for other in range(parts.max(initial=1)):
+                    some = other < parts
+                    r, p = rows[some], mine[some]
+                    full = lambda v, r=r: pa.array(np.full(len(r), v, np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            full(dims), full(k), pa.array(cell[some]), pa.array(np.minimum(p, other)), pa.array(np.maximum(p, other)), pa.array(p), pa.array(np.full(len(r), home)),
+                            pa.array(node[r]), pa.array(weight[r]), pa.array([raw[i] for i in r], pa.binary()),
+                        ],
+                        ["dims", "block", "cell", "i", "j", "part", "home", "node", "weight", "raw"],
+                    )
 
     def join(rows: pa.Table) -> pa.Table:
+        one = lambda c: rows[c][0].as_py()
         x = np.frombuffer(b"".join(rows["raw"].to_pylist()), code).reshape(rows.num_rows, -1)
-        node, weight = rows["node"].to_numpy(), rows["weight"].to_numpy()
-        sums, edges = np.zeros(len(x), np.int64), []
-        home = rows["home"].to_numpy(zero_copy_only=False)
-        order = np.lexsort((node, ~home))
-        x, node, weight, home = x[order], node[order], weight[order], home[order]
-        for a, b in link_cell(x, home, int(rows["block"][0].as_py()), cosine, rotation(x.shape[1]), width) if home.any() else []:
-            np.add.at(sums, a, weight[b])
-            np.add.at(sums, b, weight[a])
-            edges = spanning([*edges, *zip(a.tolist(), b.tolist(), strict=True)])
-        some = np.flatnonzero(sums)
-        ends = np.array(edges, np.int64).reshape(-1, 2)
+        node, weight, part, home = (rows[c].to_numpy(zero_copy_only=False) for c in ("node", "weight", "part", "home"))
+        dims = x.shape[1]
+        lo, hi = blocks_of(dims, width)[one("block")]
+        link = Linker(x, weight, one("block"), one("cell"), min(bits, hi - lo), centres.get(dims, np.zeros(dims)), cosine, width)
+        left, right = part == one("i"), part == one("j")
+        if one("i") == one("j"):
+            link.scan(np.flatnonzero(~home), np.flatnonzero(home), True)
+        else:
+            link.scan(np.flatnonzero(left), np.flatnonzero(right & home), False)
+            link.scan(np.flatnonzero(right & ~home), np.flatnonzero(left & home), False)
+        some, ends = np.flatnonzero(link.sums), np.array(spanning(link.edges), np.int64).reshape(-1, 2)
         return pa.table(
-            [pa.array(np.r_[node[some], node[ends[:, 0]]]), pa.array(np.r_[sums[some], np.zeros(len(ends), np.int64)]), pa.array([*[None] * len(some), *node[ends[:, 1]].tolist()], pa.int64())],
+            [
+                pa.array(np.r_[node[some], node[ends[:, 0]]]),
+                pa.array(np.r_[link.sums[some], np.zeros(len(ends), np.int64)]),
+                pa.array([*[None] * len(some), *node[ends[:, 1]].tolist()], pa.int64()),
+            ],
             names=["node", "links", "other"],
         )
 
-    placed = nodes.select("node", "weight", "raw").mapInArrow(spread, "dims long, block long, cx long, cy long, tile long, home boolean, node long, weight long, raw binary")
-    found = scratch.keep(placed.groupBy("dims", "block", "cx", "cy", "tile").applyInArrow(join, "node long, links long, other long"))
+    keys = ["dims", "block", "cell", "i", "j"]
+    placed = nodes.select("node", "weight", "raw").mapInArrow(spread, ", ".join(f"{c} long" for c in [*keys, "part"]) + ", home boolean, node long, weight long, raw binary")
+    found = scratch.keep(placed.groupBy(*keys).applyInArrow(join, "node long, links long, other long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     of_node = scratch.keep(
