@@ -283,7 +283,7 @@ def test_embeddings(spark):
     want = Counter((k, int(link[i].sum()), least[label[i]]) for i, (k, _) in enumerate(usable))
     want += Counter((k, 0, k) for k, _ in odd[:5])
     assert Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
-    small = embedding_dedup.near_duplicates(df, tile=4).collect()
+    small = embedding_dedup.near_duplicates(df, cell_rows=4, tile=4).collect()
     assert sorted(map(str, small)) == sorted(map(str, got))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 

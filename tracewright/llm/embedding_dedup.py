@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 from .components import connected_components, spanning
 
-#: Least cosine, dimensions of a subspace, and rows of a cell's tile.
-COSINE, BLOCK_DIMS, TILE = 0.95, 16, 8_192
+#: Least cosine, dimensions of a subspace, vectors at home in a cell about, and rows of a tile.
+COSINE, BLOCK_DIMS, CELL_ROWS, TILE = 0.95, 16, 8_192, 32_768
 #: Dimensions of a subspace that name its cells at most, and vectors whose medians the cells are halved at.
 MOST_BITS, SAMPLE = 12, 4_096
 #: What the budgets are widened by, for the rounding of coordinates to multiples of 2^-20.
@@ -175,7 +175,7 @@ def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return [*zip(a[rows].tolist(), b[of_row[rows]].tolist(), strict=True), *zip(b[cols].tolist(), b[of_col[cols]].tolist(), strict=True)]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLOCK_DIMS, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLOCK_DIMS, cell_rows: int = CELL_ROWS, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector (vec_id, embedding).
 
     Two vectors are linked when their cosine, in double precision, is at least `cosine`. Equal
@@ -183,8 +183,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
     components link with nothing, as do vectors of different lengths. Null ids keep their rows
     and never name a component that has an id; repeated ids are rows of their own.
     Every pair meets in at least one subspace. A subspace is halved at the medians of a sample, in
-    as many dimensions as make cells of about `tile` rows; a vector visits the cells within the
-    budget of it. Cells of more rows, whatever makes them, are dealt to tasks as pairs of tiles;
+    as many dimensions as make cells of about `cell_rows` home rows; a vector visits the cells
+    within the budget of it. Cells of more than `tile` rows, whatever makes them, are dealt to tasks as pairs of tiles;
     a task returns sums and a spanning forest, not all pairs.
     """
     spark = vectors.sparkSession
@@ -205,7 +205,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
     kind = vectors.schema["vec_id"].dataType.simpleString()
     table = scratch.keep(vectors.select("vec_id", "embedding").mapInArrow(read, f"vec_id {kind}, node long, raw binary"))
     nodes = scratch.keep(table.where("node is not null").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("least")))
-    bits = bits_for(nodes.count(), tile, MOST_BITS)
+    bits = bits_for(nodes.count(), cell_rows, MOST_BITS)
     sample: dict[int, list[np.ndarray]] = {}
     for r in nodes.select("node", "raw").orderBy("node").limit(SAMPLE).collect():  # names are hashes
         x = np.frombuffer(r["raw"], code)
