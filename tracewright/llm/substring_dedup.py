@@ -94,7 +94,7 @@ def named_by_id(docs: DataFrame) -> DataFrame:
 
 
 def digests_of(docs: DataFrame, window: int = CUT_WINDOW) -> DataFrame:
-    """(key, id, at, w0, w1): digests of all texts' chunks and where they are."""
+    """(key, id, span): digests of all texts' chunks, and the words before and up to the end of each in one number."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,15 +102,11 @@ def digests_of(docs: DataFrame, window: int = CUT_WINDOW) -> DataFrame:
             for lo in range(0, whole.num_rows, 64):
                 b = whole.slice(lo, 64)
                 got = [chunks_of(t or "", window) for t in b.column("text").to_pylist()]
-                n = [len(k) for k, _, _ in got]
-                ids = np.repeat(b.column("id").to_numpy(), n)
-                at = np.concatenate([np.arange(k) for k in n])
-                cols = [np.concatenate([g[i] for g in got]) for i in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0].astype(np.int64)), pa.array(ids.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, cols[1], cols[2]))], ["key", "id", "at", "w0", "w1"]
-                )
+                ids = np.repeat(b.column("id").to_numpy(), [len(k) for k, _, _ in got])
+                key, w0, w1 = (np.concatenate([g[i] for g in got]).astype(np.int64) for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, ids.astype(np.int64), w0 << 31 | w1)], ["key", "id", "span"])
 
-    return named_by_id(docs).mapInArrow(run, "key long, id long, at int, w0 int, w1 int")
+    return named_by_id(docs).mapInArrow(run, "key long, id long, span long")
 
 
 @lru_cache(maxsize=1)
@@ -138,7 +134,7 @@ def stretch_hashes(text: str, words: int, zones: list[tuple[int, int]]) -> tuple
 
 
 def stretches(zones: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """(gram, id, at, first): hashes of stretches in zones, where they are, and where their document has them first.
+    """(gram, id, at): hashes of stretches in zones, and where they are.
 
     Places count from a number of the text, so that places of two texts of one id are never neighbours.
     """
@@ -147,19 +143,18 @@ def stretches(zones: DataFrame, named: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 b = whole.slice(lo, 64)
-                cols: list[list[np.ndarray]] = [[], [], [], []]
+                cols: list[list[np.ndarray]] = [[], [], []]
                 for i, text, spans in zip(*(b.column(c).to_pylist() for c in ("id", "text", "zones")), strict=True):
                     gram, at = stretch_hashes(text or "", words, [(z["lo"], z["hi"]) for z in spans])
                     if len(at):
                         at = at + ((xxhash.xxh32_intdigest(text.encode()) >> 1) << 32)
-                        _, first, same = np.unique(gram, return_index=True, return_inverse=True)
-                        for col, x in zip(cols, (gram, np.full(len(at), i, np.int64), at, at[first][same]), strict=True):
+                        for col, x in zip(cols, (gram, np.full(len(at), i, np.int64), at), strict=True):
                             col.append(x)
                 if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "id", "at", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "id", "at"])
 
     of = zones.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("zones"))
-    return of.join(named, "id").mapInArrow(run, "gram long, id long, at long, first long")
+    return of.join(named, "id").mapInArrow(run, "gram long, id long, at long")
 
 
 def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
@@ -185,17 +180,18 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "passages")
     rows = digests_of(docs, window)
     shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key")
-    found = rows.join(shared, "key").select("id", "at", "w0", "w1")
-    marked = found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy("id").orderBy("at")))
+    start, end = F.shiftright("span", 31), F.col("span").bitwiseAND(F.lit((1 << 31) - 1))
+    found = rows.join(shared, "key").select("id", start.cast("int").alias("w0"), end.cast("int").alias("w1"))
+    # a run ends where a chunk begins after all ends before it; texts of one id share their runs
+    before = Window.partitionBy("id").orderBy("w0", "w1")
+    opens = F.coalesce((F.col("w0") > F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    marked = found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy("id", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"))
     # where a stretch may begin whose chunks, from the first window's cut to the last one's, are in the run
     zones = runs.select("id", (F.col("w0") - BLURRED - window).alias("lo"), (F.col("w1") - words - 1 + window).alias("hi")).where("hi >= lo and hi >= 0")
     grams = stretches(scratch.keep(zones), named_by_id(docs), words)
-    held = (
-        grams.groupBy("gram")
-        .agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("first", "id").alias("least_at"), F.max_by("first", "id").alias("most_at"))
-        .where("least <> most")
-    )
+    ends = grams.groupBy("gram").agg(F.min(F.struct("id", "at")).alias("l"), F.max(F.struct(F.col("id"), (-F.col("at")).alias("back"))).alias("m"))
+    held = ends.where("l.id <> m.id").select("gram", F.col("l.id").alias("least"), F.col("m.id").alias("most"), F.col("l.at").alias("least_at"), (-F.col("m.back")).alias("most_at"))
     mine = F.col("id") == F.col("least")
     other, other_at = (F.when(mine, F.col(f"most{x}")).otherwise(F.col(f"least{x}")) for x in ("", "_at"))
     placed = grams.select("gram", "id", "at").join(held, "gram").select("id", "at", other.alias("other"), (other_at - F.col("at")).alias("shift"))
