@@ -178,10 +178,10 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     if window < 1:
         raise ValueError(f"a passage has {BLURRED + 2} words at least")
     scratch = Scratch(docs.sparkSession, "passages")
-    rows = digests_of(docs, window)
+    rows = digests_of(docs, window).repartition("key")  # one exchange for the sums and for the join with them; rows of a key stream
     shared = rows.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key")
     start, end = F.shiftright("span", 31), F.col("span").bitwiseAND(F.lit((1 << 31) - 1))
-    found = rows.join(shared, "key").select("id", start.cast("int").alias("w0"), end.cast("int").alias("w1"))
+    found = rows.join(shared.hint("merge"), "key").select("id", start.cast("int").alias("w0"), end.cast("int").alias("w1"))
     # a run ends where a chunk begins after all ends before it; texts of one id share their runs
     before = Window.partitionBy("id").orderBy("w0", "w1")
     opens = F.coalesce((F.col("w0") > F.max("w1").over(before.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
@@ -189,12 +189,12 @@ def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
     runs = marked.groupBy("id", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"))
     # where a stretch may begin whose chunks, from the first window's cut to the last one's, are in the run
     zones = runs.select("id", (F.col("w0") - BLURRED - window).alias("lo"), (F.col("w1") - words - 1 + window).alias("hi")).where("hi >= lo and hi >= 0")
-    grams = stretches(scratch.keep(zones), named_by_id(docs), words)
+    grams = stretches(scratch.keep(zones), named_by_id(docs), words).repartition("gram")
     ends = grams.groupBy("gram").agg(F.min(F.struct("id", "at")).alias("l"), F.max(F.struct(F.col("id"), (-F.col("at")).alias("back"))).alias("m"))
     held = ends.where("l.id <> m.id").select("gram", F.col("l.id").alias("least"), F.col("m.id").alias("most"), F.col("l.at").alias("least_at"), (-F.col("m.back")).alias("most_at"))
     mine = F.col("id") == F.col("least")
     other, other_at = (F.when(mine, F.col(f"most{x}")).otherwise(F.col(f"least{x}")) for x in ("", "_at"))
-    placed = grams.select("gram", "id", "at").join(held, "gram").select("id", "at", other.alias("other"), (other_at - F.col("at")).alias("shift"))
+    placed = grams.select("gram", "id", "at").join(held.hint("merge"), "gram").select("id", "at", other.alias("other"), (other_at - F.col("at")).alias("shift"))
     beside = Window.partitionBy("id", "other", "shift").orderBy("at")
     pieces = placed.withColumn("piece", F.col("at") - F.dense_rank().over(beside)).groupBy("id", "other", "shift", "piece").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     place = lambda c: F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
