@@ -16,22 +16,49 @@ from tracewright.sources import readers, sinks
 
 @pytest.mark.parametrize(
     ("raw", "kind", "bid", "text"),
-    [("click('12')", "click", "12", ""), ("fill('a', value='x')", "fill", "a", "x"), ("send_msg_to_user('hi')", "send_msg_to_user", "hi", ""), ("broken(", "broken", "", ""), (None, "none", "", ""), ("", "none", "", "")],
+    [("click('12')", "click", "12", ""), ("fill('a', value='x')", "fill", "a", "x"), ("send_msg_to_user('hi')", "send_msg_to_user", "hi", ""), ("broken(", "broken", "", ""), (None, "", "", ""), ("", "", "", ""), ("None", "None", "", ""), ("f(g(1), [1, 'a'])", "f", "g(1)", '[1, "a"]'), ("a.b(1)", "a.b", "", ""), ("fill('a', 'it\\'s')", "fill", "a", "it's")],
 )
 def test_actions(raw, kind, bid, text):
     got = traces.parse_action(raw)
     assert (got["action_type"], got["target_bid"], got["target_text"]) == (kind, bid, text)
 
 
-@pytest.mark.parametrize("text", ['[{"criterion": "a"}]', '```json\n[{"criterion": "a"}]\n```', '{"rubrics": [{"rule": "a"}]}', 'Here: [{"description": "a"}] done', '[{"criterion": "a"]'])
+@pytest.mark.parametrize("text", ['[{"criterion": "a"}]', '```json\n[{"criterion": "a"}]\n```', '{"rubrics": [{"rule": "a"}]}', 'Here: [{"description": "a"}] done', '[[1], [{"rubric": "a"}]', '{"signals": ["a"]}'])
 def test_repair(text):
-    got = [rubrics.normalise_item(x) for x in rubrics.extract_array(text)]
+    given = rubrics.extract_array(text)
+    got = rubrics.normalise_items(given if given != ["a"] else [{"signals": given}])
     assert [x["criterion"] for x in got] == ["a"]
 
 
-def test_repair_of_nothing():
-    assert rubrics.extract_array(None) == [] == rubrics.extract_array("no list")
-    assert rubrics.normalise_item({"severity": "high"}) is None
+def test_missing_braces_are_repaired():
+    got = rubrics.normalise_items(rubrics.extract_array('[{"dimension": "x", "criterion": "a"}, "dimension": "y", "criterion": "b"}]'))
+    assert [(x["dimension"], x["criterion"]) for x in got] == [("x", "a"), ("y", "b")]
+
+
+def test_repair_of_nothing(spark):
+    for text in (None, "no list", '{"a": 1}'):
+        with pytest.raises(ValueError, match="no JSON list"):
+            rubrics.extract_array(text)
+    assert rubrics.normalise_item({"severity": "high"}) is None is rubrics.normalise_item("text")
+    got = rubrics.parse_rubrics(spark.createDataFrame([("no list",), ('[{"check": "c", "why": "w"}]',)], "answer string")).collect()
+    assert [(len(r["rubrics"]), r["parse_error"] is None) for r in got] == [(0, False), (1, True)]
+
+
+def test_criteria_in_nested_objects():
+    raw = [{"rubrics": [{"rule": "a", "evidence": {"success": ["s"], "failure": "f"}, "priority": "Important"}, "b"], "category": "c"}, {"name": "n"}, {"criteria": [["d"]], "description": "e"}]
+    got = rubrics.normalise_items(raw)
+    assert [(x["criterion"], x["dimension"], x["severity"]) for x in got] == [("a", "trajectory_quality", "high"), ("b", "c", "medium"), ('["d"]', "trajectory_quality", "medium")]
+    assert (got[0]["positive_evidence"], got[0]["negative_evidence"]) == (["s"], ["f"])
+    guide = {"variables": ["v", 2], "method": "m", "pattern": "", "own": ["x"], "more": 1}
+    assert rubrics.normalise_guide(guide) == {"what_to_extract": ["v", "2"], "verification_method": "m", "own": ["x"], "more": 1}
+    assert rubrics.normalise_guide(["a", ""]) == {"checks": ["a"]} and rubrics.normalise_guide(" t ") == "t" and rubrics.normalise_guide({"pattern": ""}) is None
+
+
+def test_merged_categories():
+    raw = {"categories": [{"theme": "t", "guidance": ["a"]}, {"tips": ["first", "second"]}, {"title": "u", "criterion": "c"}, {"theme": "record_1"}, {"theme": "a/b"}, {"items": [{"theme": "in"}]}, "text", {"theme": "s", "sources": ["p"]}]}
+    got = rubrics.merged_categories(rubrics.extract_object("x " + json.dumps(raw) + " y"))
+    assert [(c["theme"], c["tips"]) for c in got] == [("t", ["a"]), ("first", ["second"]), ("u", ["c"]), ("in", []), ("s", [])]
+    assert got[-1]["source_pair_ids"] == ["p"] and rubrics.extract_object('[{"theme": "x"}]') == {"categories": [{"theme": "x"}]}
 
 
 def naive_linkage(d, cut):
@@ -102,8 +129,15 @@ def test_fit_budget(spark):
 
 def test_outcomes_differ_on_purpose(spark):
     df = spark.createDataFrame([("unsuccessful", None), ("0.3", None), (None, 1.0), ("not failed", None)], "t string, r double")
-    got = df.select(oc.outcome_by_words(F.col("t")), oc.outcome_normalised(F.col("t")), oc.outcome_of_pair(F.col("t"), F.col("r"))).collect()
-    assert [tuple(r) for r in got] == [("success", "success", "unknown"), ("unknown", "failure", "success"), ("unknown", "unknown", "success"), ("failure", "failure", "unknown")]
+    got = df.select(oc.outcome_by_words(F.col("t")), oc.outcome_normalised(F.col("t")), oc.outcome_of_pair(F.col("t"), reward=F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [("success", "success", "unknown"), ("unknown", "unknown", "unknown"), ("unknown", "unknown", "success"), ("failure", "failure", "unknown")]
+
+
+def test_outcomes_of_flags_and_numbers(spark, tmp_path):
+    rows = [{"id": "a", "success": True}, {"id": "b", "score": 0.9}, {"id": "c", "label": "wrong"}, {"id": "d", "outcome": "incorrect"}, {"id": "e", "correct": False}, {"id": "f", "score": 0.3}, {"id": "g", "result": "1"}, {"id": "h", "outcome": None, "status": ""}]
+    (tmp_path / "o.json").write_text(json.dumps(rows))
+    got = readers.canonical(readers.read_records(spark, str(tmp_path / "o.json"))).orderBy("record_id").select("record_id", "outcome").collect()
+    assert [r["outcome"] for r in got] == ["success", "success", "failure", "failure", "failure", "failure", "success", "unknown"]
 
 
 def test_steps_from_files(spark, tmp_path):
@@ -112,10 +146,12 @@ def test_steps_from_files(spark, tmp_path):
         "goal": "Find it",
         "outcome": "success",
         "steps": [
-            {"observation": "button 'Go'", "error": "Timeout early"},
+            {"observation": "button 'Go'"},
+            {"error": "Element detached"},
+            {"error": "Timeout early"},
             {"num": 0, "reasoning": "look", "action": "click('1')", "url": "http://a"},
             {"num": 0, "action": "click('1')", "url": "http://b", "last_action_error": "Element detached"},
-            {"observation": "heading 'Done'"},
+            {"observation": "heading 'Done'", "error": "not told, as this is an observation"},
         ],
     }
     (tmp_path / "a.json").write_text(json.dumps({"records": [trace]}))
@@ -123,17 +159,25 @@ def test_steps_from_files(spark, tmp_path):
     for name, key in (("a.json", "r1"), ("b.jsonl", "r2")):
         records = readers.canonical(readers.read_records(spark, str(tmp_path / name)))
         steps = traces.steps_of(records).orderBy("pos").collect()
-        assert [(s["record_id"], s["pos"], s["signature"]["target_bid"]) for s in steps] == [(key, 1, "1"), (key, 2, "1")]
-        assert steps[0]["cues"] == ["button 'Go'"] and steps[0]["error_type"] == "timeout"
-        assert steps[1]["cues"] == ["heading 'Done'"] and steps[1]["error_type"] == "detached"
+        assert [(s["record_id"], s["pos"], s["signature"]["target_bid"]) for s in steps] == [(key, 3, "1"), (key, 4, "1")]
+        assert steps[0]["cues"] == ["url: http://a", "button 'Go'"] and steps[0]["error_type"] == "timeout"
+        assert steps[1]["cues"] == ["url: http://b", "heading 'Done'"] and steps[1]["error_type"] == "detached" and steps[1]["page_title"] == "Done"
         summary = traces.summaries(records).first()
         assert (summary["outcome"], summary["n_steps"], summary["final_url"]) == ("success", 2, "http://b")
 
 
 def test_csv_events(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("id,step,action\nx,2,b\nx,1,a\ny,1,c\n")
+    (tmp_path / "t.csv").write_text("\ufeffid,step,action,task,outcome,tool_name\nx,2,b,late,,\nx,1,a,Do it,passed,t\ny,1,c,,0,\n")
     got = readers.canonical(readers.read_records(spark, str(tmp_path / "t.csv"))).orderBy("record_id")
-    assert [(r[0], r[1]) for r in got.select("record_id", F.size("trace")).collect()] == [("x", 2), ("y", 1)]
+    rows = got.select("record_id", "task", "outcome", F.transform("trace", lambda e: F.to_json(e)).alias("trace")).collect()
+    assert [(r[0], r[1], r[2]) for r in rows] == [("x", "Do it", "success"), ("y", "", "failure")]
+    assert [json.loads(e) for e in rows[0]["trace"]] == [{"action": "a", "tool": "t"}, {"action": "b"}]
+
+
+def test_typed_cells(spark):
+    cells = ["", " ", "1", "-2.50", "true", "[1, 2]", "{bad", "1_000", "x", None]
+    got = spark.createDataFrame([(c,) for c in cells], "c string").select(F.to_json(readers.typed_cell(F.col("c")))).collect()
+    assert [r[0] for r in got] == ['""', '""', "1", "-2.5", "true", "[1,2]", '"{bad"', '"1_000"', '"x"', None]
 
 
 def test_unknown_format(spark):

@@ -11,10 +11,10 @@ from tracewright.sources import readers
 
 
 def test_cues(spark):
-    text = "plain\nheading 'Prices'\nbutton 'Buy'\nAccept cookie\nbutton 'Buy'\n\nStaticText 'total 3'"
-    df = spark.createDataFrame([(text,), ("",), (None,)], "t string")
-    got = [r[0] for r in df.select(cues.best_cues(F.col("t"), 3)).collect()]
-    assert got[0] == ["heading 'Prices'", "StaticText 'total 3'", "button 'Buy'"] and got[1] == []
+    text = "plain\nheading 'Prices'\nbutton 'Buy'\nAccept cookie\nbutton 'Buy'\n\nStaticText 'total 3'\nbutton 'Show help'"
+    df = spark.createDataFrame([(text,), ("",), ("no  page\nat all",)], "t string")
+    got = [r[0] for r in df.select(cues.best_cues(F.col("t"), 4)).collect()]
+    assert got[0] == ["heading 'Prices'", "StaticText 'total 3'", "button 'Buy'"] and got[1:] == [[], ["no page at all"]]
     assert [r[0] for r in df.limit(1).select(cues.first_cues(F.col("t"), 2)).collect()] == [["plain", "heading 'Prices'"]]
 
 
@@ -25,14 +25,15 @@ def test_balanced(spark):
 
 def test_fit_cards(spark):
     df = spark.createDataFrame([([("x" * 50,), ("y",)],), ([("a",), ("b",), ("c",)],)], "c array<struct<v:string>>")
-    assert [len(r[0]) for r in df.select(cues.fit_cards(F.col("c"), 30)).collect()] == [1, 2]
+    assert [len(r[0]) for r in df.select(cues.fit_cards(F.col("c"), 46)).collect()] == [1, 2]
+    assert df.select(cues.json_size(F.struct(F.lit("a").alias("k"), F.array(F.lit(1), F.lit(2)).alias("n")))).first()[0] == len(json.dumps({"k": "a", "n": [1, 2]}))
 
 
 def test_clean_payload(spark):
-    raw = {"model": "m", "agent_x": 1, "a": {"seed": 3, "b": ""}, "l": [{"model": 1}, {"k": 2}]}
-    assert render.clean_payload(raw) == {"l": [{"k": 2}]}
+    raw = {"Model": "m", "agent_x": 1, "my_model_args": 2, "a": {"success_prior": 3, "b": ""}, "l": [{"model": 1}, {"k": 2}], "source_fields": ["validation", "obs", "obs.screenshot_path"]}
+    assert render.clean_payload(raw) == {"l": [{"k": 2}], "source_fields": ["obs"]}
     df = render.sanitised(spark.createDataFrame([(json.dumps(raw),), ("no json",), (None,)], "p string"), "p")
-    assert [r[0] for r in df.collect()] == ['{"l": [{"k": 2}]}', "no json", None]
+    assert [r[0] for r in df.collect()] == ['{"l": [{"k": 2}], "source_fields": ["obs"]}', "no json", None]
 
 
 def test_rendering_and_models(spark, tmp_path):
@@ -42,7 +43,7 @@ def test_rendering_and_models(spark, tmp_path):
     path.write_text(json.dumps(trace))
     summary = traces.summaries(readers.canonical(readers.read_records(spark, str(tmp_path), "tree")))
     shown, hidden = summary.select(render.response_text(), render.response_text(with_outcome=False)).first()
-    assert "Outcome:\nsuccess" in shown and "success" not in hidden and "- 1: click('1')" in hidden
+    assert "Outcome:\nsuccess" in shown and "success" not in hidden and "- 0: click('1')" in hidden
     prompts = summary.select("record_id", render.pair_prompt(F.col("task"), F.lit(shown), F.lit(hidden)).alias("prompt"))
     answers = rubrics.parse_rubrics(models.complete_all(prompts, models.StubClient, "record_id"))
     assert answers.select(F.size("rubrics")).first()[0] == 1

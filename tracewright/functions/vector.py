@@ -33,49 +33,84 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / n))).otherwise(F.lit(1.0))
 
 
-def softmax_of_distances(distance: Column, by: list[str], temperature: float = 0.05) -> Column:
-    """exp((least - d) / T) over its sum, within each group of rows."""
-    w = Window.partitionBy(*by)
-    e = F.exp((F.min(distance).over(w) - distance) / max(temperature, 1e-8))
-    return e / F.sum(e).over(w)
 
 
-def _blocked(left: DataFrame, right: DataFrame, blocks: int, link: Callable) -> DataFrame:
-    """Rows of left meet all rows of right, a block of right at a time."""
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    one = right.select("id", "vector", block.alias("block"), F.lit(False).alias("query"))
-    many = left.select("id", "vector", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"))
-    return one.union(many).groupBy("block").applyInArrow(link, "a long, b long, distance double")
+def truncated_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two vectors cut to the shorter length before their norms are taken; 0 for a zero or empty one."""
+    n = F.least(F.size(a), F.size(b))
+    length = norm(F.slice(a, F.lit(1), n)) * norm(F.slice(b, F.lit(1), n))
+    return F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0))
+
+
+def with_softmax(rows: DataFrame, distance: str, by: list[str], temperature: float, name: str) -> DataFrame:
+    """All rows with exp((least - d) / T) over its sum in each group, by two small aggregates instead of a window, so that no group is one task's."""
+    t = max(temperature, 1e-8)
+    least = rows.groupBy(*by).agg(F.min(distance).alias("__least"))
+    e = F.exp((F.col("__least") - F.col(distance)) / t)
+    sums = rows.join(least, by).groupBy(*by, "__least").agg(F.sum(e).alias("__sum"))
+    return rows.join(sums, by).withColumn(name, e / F.col("__sum")).drop("__least", "__sum")
+
+
+def _tiled(left: DataFrame, right: DataFrame, lefts: int, rights: int, link: Callable, self_join: bool) -> DataFrame:
+    """Rows of left meet all rows of right, a tile of each at a time; of a table with itself, each pair of tiles once."""
+    tile = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if self_join:
+        own = right.select("id", "vector", tile(rights, 0).alias("own"), every(rights).alias("other"))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        rows = own.select("id", "vector", i.alias("i"), j.alias("j"), (F.col("own") == i).alias("query"), (F.col("own") == j).alias("row"))
+    else:
+        a = left.select("id", "vector", tile(lefts, 0).alias("i"), every(rights).alias("j"), F.lit(True).alias("query"), F.lit(False).alias("row"))
+        rows = a.union(right.select("id", "vector", every(lefts).alias("i"), tile(rights, 0).alias("j"), F.lit(False).alias("query"), F.lit(True).alias("row")))
+    return rows.groupBy("i", "j").applyInArrow(link, "a long, b long, distance double")
 
 
-def _linker(most: float, ordered: bool) -> Callable:
+def _linker(most: float, how: str) -> Callable:
+    """how: once (a < b), others (a <> b) or all."""
+
     def link(rows: pa.Table) -> pa.Table:
-        ids, query = rows["id"].to_numpy(), rows["query"].to_numpy(zero_copy_only=False)
-        x = np.array(rows["vector"].to_pylist(), np.float64).reshape(len(ids), -1)
+        ids = rows["id"].to_numpy()
+        of = lambda name: np.flatnonzero(rows[name].to_numpy(zero_copy_only=False))
+        given = rows["vector"].to_pylist()
+        x = np.zeros((len(ids), max(map(len, given), default=0)))  # a shorter vector has zeros at its end
+        for k, v in enumerate(given):
+            x[k, : len(v)] = v
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        q, r = np.flatnonzero(query), np.flatnonzero(~query)
+        q, r = of("query"), of("row")
+        same_tile = rows["i"][0].as_py() == rows["j"][0].as_py()
         out: list[np.ndarray] = []
+        dists: list[np.ndarray] = []
         for lo in range(0, len(q), 512):
             part = q[lo : lo + 512]
             d = np.clip(1 - x[part] @ x[r].T, 0, 2)
             i, j = np.nonzero(d <= most)
             a, b = ids[part[i]], ids[r[j]]
-            keep = a < b if ordered else a != b
-            out.append(np.stack([a[keep], b[keep], d[i, j][keep]]))
-        got = np.concatenate(out, 1) if out else np.zeros((3, 0))
-        return pa.table([pa.array(got[0].astype(np.int64)), pa.array(got[1].astype(np.int64)), pa.array(got[2])], names=["a", "b", "distance"])
+            keep = (a < b if same_tile else a != b) if how == "once" else a != b if how == "others" else np.ones(len(a), bool)
+            a, b, d = a[keep], b[keep], d[i, j][keep]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]) if how == "once" else np.stack([a, b]))
+            dists.append(d)
+        ends = np.concatenate(out, 1) if out else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(ends[0]), pa.array(ends[1]), pa.array(np.concatenate(dists) if dists else np.zeros(0))], names=["a", "b", "distance"])
 
     return link
 
 
+def _tiles(rows: DataFrame, block_rows: int) -> int:
+    return max(1, -(-rows.count() // block_rows))
+
+
 def pair_distances(rows: DataFrame, most: float = 2.0, block_rows: int = 2048) -> DataFrame:
-    """(a, b, distance) of all pairs a < b of (id, vector) within a cosine distance, by block products."""
-    blocks = max(1, -(-rows.count() // block_rows))
-    return _blocked(rows, rows, blocks, _linker(most, True))
+    """(a, b, distance) of all pairs a < b of (id, vector) within a cosine distance, by products of tiles."""
+    n = _tiles(rows, block_rows)
+    return _tiled(rows, rows, n, n, _linker(most, "once"), True)
 
 
 def query_distances(queries: DataFrame, rows: DataFrame, block_rows: int = 8192) -> DataFrame:
     """(a, b, distance) of each query to all other rows."""
-    blocks = max(1, -(-rows.count() // block_rows))
-    return _blocked(queries, rows, blocks, _linker(2.0, False))
+    return _tiled(queries, rows, _tiles(queries, block_rows), _tiles(rows, block_rows), _linker(2.0, "others"), False)
+
+
+def all_distances(queries: DataFrame, rows: DataFrame, block_rows: int = 8192) -> DataFrame:
+    """(a, b, distance) of each query to all rows of another table, whose ids may be the same."""
+    return _tiled(queries, rows, _tiles(queries, block_rows), _tiles(rows, block_rows), _linker(2.0, "all"), False)

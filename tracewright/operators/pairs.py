@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import outcome as oc
+from ..functions.text import first_text
 
 
 def group_counts(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,6 +37,54 @@ def pick_first_pairs(candidates: DataFrame, keys: list[str], record: str) -> Dat
     return picked.where("positive IS NOT NULL AND negative IS NOT NULL")
 
 
+def pair_records(candidates: DataFrame, picked: DataFrame) -> DataFrame:
+    """Whole records of picked pairs (domain, jobname, positive, negative): ids, query, ranks, responses, the two records, counts.
+
+    Candidates are record_id, domain, model_name, job_with_model, jobname, source_path,
+    relative_source_path, outcome, task_instruction, response. The query is the first task that
+    is told, else the job's name.
+    """
+    counts = candidates.groupBy("domain", "jobname", "outcome").agg(F.count("*").alias("n"))
+    outcomes = counts.groupBy("domain", "jobname").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"), F.sum("n").alias("candidate_count"))
+    fields = ["record_id", "outcome", "domain", "model_name", "job_with_model", "jobname", "source_path", "relative_source_path"]
+
+    def chosen(role: str, rank: int) -> DataFrame:
+        keyed = picked.select("domain", "jobname", F.col(role).alias("record_id"))
+        got = candidates.join(keyed, ["domain", "jobname", "record_id"]).dropDuplicates(["domain", "jobname"])
+        summary = F.struct(F.col("record_id"), F.lit(role).alias("pair_role"), F.lit(rank).alias("label_rank"), *[F.col(c) for c in fields[1:]])
+        return got.select("domain", "jobname", summary.alias(f"{role}_record"), F.col("response").alias(f"{role}_response"), first_text(F.col("task_instruction")).alias(f"{role}_task"))
+
+    both = chosen("positive", 1).join(chosen("negative", 2), ["domain", "jobname"]).join(outcomes, ["domain", "jobname"])
+    return both.select(
+        F.concat_ws("/", "domain", "jobname").alias("pair_id"), "domain", "jobname", F.coalesce("positive_task", "negative_task", "jobname").alias("query"), F.array(F.lit(1), F.lit(2)).alias("label_rank"),
+        F.array("positive_response", "negative_response").alias("responses"), F.array("positive_record", "negative_record").alias("selected_records"), "candidate_count", "outcomes",
+    )
+
+
+def skipped_groups(candidates: DataFrame) -> DataFrame:
+    """pair_id, domain, jobname, reason, outcomes, candidate_count and the candidates of groups without a pair."""
+    counts = group_counts(candidates, ["domain", "jobname"]).where("skip_reason is not null")
+    listed = F.array_sort(F.collect_list(F.struct("relative_source_path", "record_id", "outcome", "model_name")))
+    of = candidates.join(counts.select("domain", "jobname"), ["domain", "jobname"], "left_semi").groupBy("domain", "jobname").agg(listed.alias("candidates"))
+    named = [F.struct(F.lit(k).alias("k"), F.col(f"n_{k}").alias("n")) for k in (oc.FAILURE, oc.SUCCESS, oc.UNKNOWN)]
+    outcomes = F.map_from_entries(F.filter(F.array(*named), lambda x: x["n"] > 0))
+    return counts.join(of, ["domain", "jobname"]).select(F.concat_ws("/", "domain", "jobname").alias("pair_id"), "domain", "jobname", F.col("skip_reason").alias("reason"), outcomes.alias("outcomes"), "candidate_count", "candidates")
+
+
+def run_summary(candidates: DataFrame, keys: list[str], domain: str) -> DataFrame:
+    """One row: candidates, groups, pairs, skipped_groups, and maps of candidates by outcome, groups by reason and pairs by domain, in order of keys."""
+    groups = group_counts(candidates, keys)
+    if domain not in keys:
+        raise ValueError(f"{domain} is no key of groups")
+    as_map = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("n"))))).alias(f"by_{key}"))
+    paired = groups.where("skip_reason is null")
+    totals = groups.agg(F.coalesce(F.sum("candidate_count"), F.lit(0)).alias("candidates"), F.count("*").alias("groups"), F.count_if(F.col("skip_reason").isNull()).alias("pairs"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped_groups"))
+    parts = [as_map(candidates, "outcome"), as_map(groups.where("skip_reason is not null"), "skip_reason"), as_map(paired, domain)]
+    for part in parts:  # of one row each
+        totals = totals.crossJoin(F.broadcast(part))
+    return totals
+
+
 def pick_pairs_replayed(candidates: DataFrame, keys: list[str], record: str, seed: int = 42) -> DataFrame:
     """As pick_pairs, by one random sequence over groups in key order: two draws for each pair.
 

@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Patterns of identifiers that should not be in a criterion.
+# Identifiers that a criterion should not hold.
 LEAKS = {
-    "uuid": r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
-    "record": r"\b[A-Z]{2,5}[0-9]{5,}\b",
-    "url": r"https?://[^ ]+",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}",
-    "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "uuid_or_series_id": r"(?i)#?[0-9a-f]{6,}-[0-9a-f]?",
+    "record_number": r"\b(?:RITM|INC|PRB|CHG|EXP)\d{4,}\b",
+    "literal_url_or_path": r"https?://|\.do\b|/now/nav|/catalogsearch",
+    "literal_action_id": r"(?:click|fill|select_option|upload_file)\('[A-Za-z0-9_]+'",
+    "hyphenated_person_name": r"\b[A-Z][a-z]+-[A-Z][a-z]+\s+[A-Z][a-z]+-[A-Z][a-z]+\b",
 }
 
 
+#: Ranges between quantiles of scores.
+RANGES = 64
+
+
 def weighted_mean(score: Column, weight: Column) -> Column:
     """An aggregate: 0 where no weight is left."""
     total = F.sum(F.when(score.isNotNull(), weight))
@@ -31,8 +35,15 @@ def auc(rows: DataFrame, label: str, score: str, by: list[str] | None = None) ->
     counts = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n")
     )
-    lower = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("p") * (lower + F.col("n") / 2))
+    # scores lie in ranges between quantiles, so that the ordered window is not one task's; sums of ranges go before it
+    edges = counts.agg(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)]).alias("__edges"))  # one row
+    placed = counts.crossJoin(F.broadcast(edges)).withColumn("__range", F.size(F.filter("__edges", lambda e: e <= F.col(score)))).drop("__edges")
+    sums = placed.groupBy(*keys, "__range").agg(F.sum("n").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumn("__before", before).drop("__n")
+    within = F.sum("n").over(Window.partitionBy(*keys, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
+    ranged = placed.withColumn("__within", F.coalesce(within, F.lit(0)))
+    won = ranged.join(sums, [*keys, "__range"]).withColumn("won", F.col("p") * (F.col("__before") + F.col("__within") + F.col("n") / 2))
     out = won.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
     product = F.col("n_positive") * F.col("n_negative")
     return out.select(*keys, "n_positive", "n_negative", F.when(product > 0, F.col("won") / product).alias("auc"))
@@ -60,15 +71,6 @@ def leak_counts(text: Column) -> list[Column]:
     return [F.size(F.regexp_extract_all(text, F.lit(p), 0)).cast("long").alias(f"n_{k}") for k, p in LEAKS.items()]
 
 
-def audit(rubrics: DataFrame, group: str, dimension: str, members: str) -> DataFrame:
-    """Flags of each group: duplicate dimensions, too few (under 3) or many (over 6) criteria, a single member."""
-    low = F.lower(F.trim(F.col(dimension)))
-    out = rubrics.groupBy(group).agg(F.count("*").alias("n"), F.countDistinct(low).alias("distinct_dimensions"), F.max(members).alias("size"))
-    return out.select(
-        group, "n", (F.col("n") - F.col("distinct_dimensions")).alias("duplicates"), (F.col("n") < 3).alias("too_few"), (F.col("n") > 6).alias("too_many"), (F.coalesce(F.col("size"), F.lit(0)) <= 1).alias("singleton")
-    )
-
-
 def class_means(rows: DataFrame, label: str, score: str, by: list[str]) -> DataFrame:
     """Mean score of each class, and their gap."""
     of = lambda k: F.avg(F.when(F.col(label) == k, F.col(score)))

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import clean_lines, let, norm_ws, one_line
+
 
 def assemble_steps(events: DataFrame, key: str, order: list[str], is_step: Column, is_error: Column, message: Column) -> DataFrame:
     """A row for each step with what was attached to it: key, step, n_events, n_attached, last_error.
 
     A step event closes the previous one. Other events belong to the current step; those before
-    the first step wait for it, and of their errors only the last one is kept, after which the
-    step's own errors win. Keys without a step give no rows.
+    the first step wait for it, and of their errors only the last one is kept; it goes over the
+    step's own, and later errors go over it. Keys without a step give no rows.
     """
     upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     marked = events.withColumn("__step", is_step).withColumn("__error", F.when(is_error, message))
     numbered = marked.withColumn("__n", F.sum(F.col("__step").cast("int")).over(upto)).withColumn("__at", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     placed = numbered.withColumn("step", F.greatest(F.col("__n"), F.lit(1)).cast("long"))
-    rank = F.struct((F.col("__n") > 0).alias("own"), F.col("__at"))
+    turn = F.when(F.col("__step"), 0).when(F.col("__n") == 0, 1).otherwise(2)
+    rank = F.struct(turn.alias("turn"), F.col("__at"))
     out = placed.groupBy(key, "step").agg(
         F.count("*").alias("n_events"),
         F.sum((~F.col("__step")).cast("long")).alias("n_attached"),
@@ -52,42 +58,104 @@ def top_k(rows: DataFrame, key: str, score: Column, order: list[str], k: int) ->
     return ranked.where(F.col("rank_no") <= k)
 
 
+#: Characters of a line of an observation, and what a mark takes of them.
+LINE_WIDTH, LINE_RESERVE = 220, 18
+
+
 def fit_budget(lines: Column, budget: int) -> Column:
-    """The lines before the first that overflows the budget (a line costs its length and 1); always the first."""
-    state = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("cost"), F.lit(False).alias("full"))
+    """The trimmed lines before the first that overflows the budget (a line costs its length and 1); always the first, trimmed to it."""
+    trimmed = F.transform(lines, lambda x: one_line(x, LINE_WIDTH, LINE_RESERVE))
+    short = lambda x: F.when(F.length(x) + 1 > budget, one_line(x, max(30, budget), LINE_RESERVE)).otherwise(x)
+    first = lambda t: F.concat(F.transform(F.slice(t, 1, 1), short), F.slice(t, 2, F.greatest(F.size(t), F.lit(1))))
+    state = F.struct(F.lit(0).alias("n"), F.lit(0).alias("cost"), F.lit(False).alias("full"))
 
     def step(s: Column, x: Column) -> Column:
         cost = s["cost"] + F.length(x) + 1
-        fits = (~s["full"]) & ((F.size(s["kept"]) == 0) | (cost <= budget))
-        return F.struct(F.when(fits, F.array_append(s["kept"], x)).otherwise(s["kept"]).alias("kept"), F.when(fits, cost).otherwise(s["cost"]).alias("cost"), (~fits).alias("full"))
+        fits = (~s["full"]) & ((s["n"] == 0) | (cost <= budget))
+        return F.struct(F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(fits, cost).otherwise(s["cost"]).alias("cost"), (~fits | (cost >= budget)).alias("full"))
 
-    return F.aggregate(lines, state, step, lambda s: s["kept"])
+    return let(let(trimmed, first), lambda t: F.slice(t, 1, F.aggregate(t, state, step, lambda s: s["n"])))
 
 
-def head_and_tail(lines: Column, budget: int, head: float = 0.26, tail: float = 0.34) -> Column:
-    """Lines of the start and the end within shares of a budget; the end gives none of the start's."""
-    start = fit_budget(lines, int(budget * head))
-    rest = F.slice(lines, F.size(start) + 1, F.greatest(F.size(lines) - F.size(start), F.lit(0)))
-    end = F.reverse(fit_budget(F.reverse(rest), int(budget * tail)))
-    return F.when(F.size(rest) > 0, F.concat(start, end)).otherwise(start)
+# Words of an observation that count as marks, words that are no terms, and the shares of its parts.
+MARKS = (
+    "active alert checked complete current done error failed heading invalid label link list menu option required result row selected success table textbox value"
+).split()
+NO_TERMS = "about after again also and are for from into not now the this that then there with you your".split()
+TERM = r"[A-Za-z0-9_][A-Za-z0-9_.-]{2,}"
+LABEL_CHARS, LEAST_LINES, HEAD, LEAST_HEAD, TAIL, LEAST_TAIL, LEAST_RELEVANT = 80, 60, 0.26, 80, 0.34, 120, 80
 
 
-def chunk_number(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
-    """All rows with the number of their chunk of `size` rows, in order."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("long"))
+def relevance_terms(*texts: Column) -> Column:
+    """Words of a task and a step that an observation may speak of."""
+    found = F.regexp_extract_all(F.concat_ws(" ", *texts), F.lit(TERM), F.lit(0))
+    low = F.transform(F.filter(found, lambda t: ~F.lower(t).isin(NO_TERMS)), lambda t: F.regexp_replace(F.lower(t), r"^[._/-]+|[._/-]+$", ""))
+    return F.array_distinct(F.filter(low, lambda t: F.length(t) >= 3))
 
 
-def rank_lines(lines: Column, terms: Column, roles: list[str], k: int) -> Column:
-    """The k best lines by 10 for a matched term and 1 for a role word; then by position.
+def observation_segments(text: Column, terms: Column, budget: int = 1200) -> Column:
+    """The head, the lines that speak of terms, and the tail of an observation: (section, line_indices, cues), empty ones left out.
 
-    A line without a score stays only among the first four.
+    The middle takes the best lines by 3 for a term and 1 for a mark, then place, and tells them
+    in order.
     """
+    room = max(LEAST_LINES, max(1, budget) - LABEL_CHARS)
+    head, tail = max(LEAST_HEAD, int(room * HEAD)), max(LEAST_TAIL, int(room * TAIL))
+    middle = max(LEAST_RELEVANT, room - head - tail)
+    whole = F.array(norm_ws(text))
+    segment = lambda name, at, cues: F.struct(F.lit(name).alias("section"), at.cast("array<int>").alias("line_indices"), cues.alias("cues"))
+    span = lambda lo, hi: F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
+    hits = lambda b, low: F.size(F.filter(b["terms"], lambda t: low.contains(t))) * 3 + sum((low.contains(w).cast("int") for w in MARKS), F.lit(0))
+
+    def parts(b: Column) -> Column:
+        n, top, end = F.size(b["lines"]), b["top"], b["end"]
+        free = F.filter(F.transform(b["lines"], lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: (s["i"] >= F.size(top)) & (s["i"] < n - F.size(end)))
+        scored = F.transform(free, lambda s: F.struct((-let(F.lower(s["x"]), lambda low: hits(b, low))).alias("k"), s["i"].alias("i"), s["x"].alias("x")))
+        ranked = F.array_sort(F.filter(scored, lambda s: s["k"] < 0))
+        zipped = lambda r, f: F.array_sort(F.zip_with(F.slice(r, 1, F.size(f)), f, lambda s, x: F.struct(s["i"].alias("i"), x.alias("x"))))
+        kept = let(ranked, lambda r: let(fit_budget(F.transform(r, lambda s: s["x"]), middle), lambda f: zipped(r, f)))
+        of = let(kept, lambda k: segment("task_relevant", F.transform(k, lambda s: s["i"]), F.transform(k, lambda s: s["x"])))
+        return F.filter(F.array(segment("head", span(F.lit(0), F.size(top)), top), of, segment("tail", span(n - F.size(end), n), end)), lambda s: F.size(s["cues"]) > 0)
+
+    lines = let(clean_lines(text), lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+    bound = let(lines, lambda x: F.struct(x.alias("lines"), fit_budget(x, head).alias("top"), F.reverse(fit_budget(F.reverse(x), tail)).alias("end"), terms.alias("terms")))
+    return let(bound, parts)
+
+
+def render_segments(segments: list[dict], budget: int) -> str:
+    """Segments as [section] and their lines within a budget of characters; the line that goes over is cut where over 40 are left."""
+    out: list[str] = []
+    used = 0
+    for s in segments:
+        block, size = [f"[{s['section']}]"], len(s["section"]) + 3
+        for line in s["cues"]:
+            left = budget - used - size
+            if len(line) + 1 > left:
+                if left > 40:
+                    block.append(line if len(line) <= left else line[: left - LINE_RESERVE].rstrip() + " ...[truncated]")
+                break
+            block.append(line)
+            size += len(line) + 1
+        text = "\n".join(block)
+        if out and used + len(text) + 1 > budget:
+            break
+        out.append(text)
+        used += len(text) + 1
+        if used >= budget:
+            break
+    return "\n".join(out)[:budget]
+
+
+def segments_text(segments: Column, budget: int) -> Column:
+    """render_segments over a column of segments."""
+
+    @F.pandas_udf("string")
+    def text(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: render_segments(json.loads(t), budget), na_action="ignore")
+
+    return text(F.to_json(segments))
 
-    def scored(x: Column, i: Column) -> Column:
-        low = F.lower(x)
-        hits = F.size(F.filter(terms, lambda t: low.contains(F.lower(t))))
-        role = sum((low.contains(r).cast("int") for r in roles), F.lit(0))
-        return F.struct((-(hits * 10 + role)).alias("order"), i.alias("at"), x.alias("line"))
 
-    kept = F.filter(F.transform(lines, scored), lambda s: (s["order"] < 0) | (s["at"] < 4))
-    return F.transform(F.slice(F.array_sort(kept), 1, k), lambda s: s["line"])
+def chunk_number(rows: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
+    """All rows with the number of their chunk of `size` rows, in order."""
+    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size).cast("long"))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import cues as cu
 from ..functions import goals
 from ..functions import outcome as oc
 from ..functions import text as tx
 from ..functions import vector as vec
-from ..operators import clusters, models, pairs, rubrics, scoring, sequences, tasks, traces
+from ..operators import clusters, judging, models, pairs, rubrics, scoring, sequences, tasks, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,7 +59,7 @@ def traj_summary(spark, sf_dir):
                FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     p AS (SELECT *, greatest(n, 1) AS step FROM e),
     g AS (SELECT user_id, step, count(*) AS n_events, count(*) FILTER (NOT is_step) AS n_attached,
-                 arg_max(msg, CASE WHEN n > 0 THEN 1000000000000 ELSE 0 END + spot) FILTER (msg IS NOT NULL) AS last_error, bool_or(is_step) AS has
+                 arg_max(msg, CASE WHEN is_step THEN 0 WHEN n = 0 THEN 1000000000000 ELSE 2000000000000 END + spot) FILTER (msg IS NOT NULL) AS last_error, bool_or(is_step) AS has
           FROM p GROUP BY user_id, step)
     SELECT user_id, step, n_events, n_attached, last_error FROM g WHERE has
 """)
@@ -104,15 +105,16 @@ def transition_topk(spark, sf_dir):
 
 @query("""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents),
-    c AS (SELECT doc_id, spot, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l),
-    k AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS pos FROM c WHERE line <> ''),
-    s AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM k)
+    c AS (SELECT doc_id, spot, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS x FROM l),
+    k AS (SELECT doc_id, CASE WHEN length(x) <= 220 THEN x ELSE rtrim(substring(x, 1, 202)) || ' ...[truncated]' END AS x, row_number() OVER (PARTITION BY doc_id ORDER BY spot) AS pos FROM c WHERE x <> ''),
+    f AS (SELECT doc_id, pos, CASE WHEN pos = 1 AND length(x) > 100 THEN rtrim(substring(x, 1, 82)) || ' ...[truncated]' ELSE x END AS line FROM k),
+    s AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM f)
     SELECT doc_id, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest
-    FROM s WHERE pos = 1 OR upto <= 1200 GROUP BY doc_id
+    FROM s WHERE pos = 1 OR upto <= 100 GROUP BY doc_id
 """)
 def line_budget_fit(spark, sf_dir):
-    """Lines until the first that overflows a budget, always the first one (WIN-8)."""
-    kept = table(spark, sf_dir, "documents").select("doc_id", sequences.fit_budget(tx.clean_lines(F.col("text")), 1200).alias("kept")).where(F.size("kept") > 0)
+    """Trimmed lines until the first that overflows a budget, always the first one (WIN-8)."""
+    kept = table(spark, sf_dir, "documents").select("doc_id", sequences.fit_budget(tx.clean_lines(F.col("text")), 100).alias("kept")).where(F.size("kept") > 0)
     return kept.select("doc_id", F.size("kept").cast("long").alias("n_lines"), F.aggregate("kept", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("n_chars"), F.md5(F.array_join("kept", "\n")).alias("digest"))
 
 
@@ -223,40 +225,45 @@ def matched_terms(spark, sf_dir):
 
 
 @query("""
-    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents),
-    s AS (SELECT doc_id, line, spot, 10 * (CASE WHEN contains(lower(line), 'token') THEN 1 ELSE 0 END + CASE WHEN contains(lower(line), 'license') THEN 1 ELSE 0 END) + CASE WHEN contains(lower(line), 'error') THEN 1 ELSE 0 END + CASE WHEN contains(lower(line), 'table') THEN 1 ELSE 0 END AS score FROM l),
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS spot FROM documents),
+    c AS (SELECT doc_id, spot, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS line FROM l),
+    s AS (SELECT doc_id, spot, CASE WHEN length(line) <= 360 THEN line ELSE rtrim(substring(line, 1, 320)) || chr(10) || '...[truncated]...' END AS line,
+                 10 * len(list_filter(['token', 'license'], lambda t: contains(lower(line), t)))
+                 + len(list_filter(['heading', 'statictext', 'grid', 'table', 'region', 'link', 'button', 'searchbox', 'textbox', 'combobox', 'alert', 'error'], lambda t: contains(lower(line), t))) AS score FROM c WHERE line <> ''),
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, spot) AS k FROM s WHERE score > 0 OR spot <= 4)
     SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY k)) AS digest, count(*) AS n FROM r WHERE k <= 6 GROUP BY doc_id
 """)
 def evidence_rank_docs(spark, sf_dir):
-    """Lines ranked by matched terms and role words (TOP-2)."""
-    best = sequences.rank_lines(F.split("text", "\n"), F.array(F.lit("token"), F.lit("license")), ["error", "table"], 6)
-    return table(spark, sf_dir, "documents").select("doc_id", best.alias("b")).select("doc_id", F.md5(F.array_join("b", "\n")).alias("digest"), F.size("b").cast("long").alias("n"))
+    """Lines ranked by matched terms and the twelve roles (TOP-2)."""
+    best = cu.ranked_evidence(tx.split_lines(F.col("text")), F.array(F.lit("token"), F.lit("license")), 6)
+    return table(spark, sf_dir, "documents").select("doc_id", best.alias("b")).where(F.size("b") > 0).select("doc_id", F.md5(F.array_join("b", "\n")).alias("digest"), F.size("b").cast("long").alias("n"))
+
+
+_LABELS = ["Successful", "unsuccessful", "Passed", "FAILED", "wrong", "succeeded", "correct", "incorrect", "an error", "1", "0", "yes", "N", "true", "0.7", "", "maybe", "critical", "Important", "small", "optional", "severe", " Low "]
 
 
 @query("""
+    WITH o AS (SELECT o_orderkey, o_totalprice, ['Successful', 'unsuccessful', 'Passed', 'FAILED', 'wrong', 'succeeded', 'correct', 'incorrect', 'an error', '1', '0', 'yes', 'N', 'true', '0.7', '', 'maybe', 'critical', 'Important', 'small', 'optional', 'severe', ' Low '][o_orderkey % 23 + 1] AS w FROM orders),
+    t AS (SELECT *, lower(w) AS low, lower(trim(w)) AS word, CASE WHEN regexp_matches(lower(w), 'fail|failed|error|incorrect|wrong') THEN 'failure' WHEN regexp_matches(lower(w), 'success|succeed|pass|passed|correct') THEN 'success' END AS by_words FROM o),
+    p AS (SELECT *, CASE WHEN word IN ('success', 'succeeded', 'pass', 'passed', 'correct') THEN 'success' WHEN word IN ('failure', 'failed', 'fail', 'incorrect', 'wrong', 'error') THEN 'failure' END AS exact FROM t)
     SELECT o_orderkey,
-      CASE WHEN contains(lower(o_orderpriority), 'urgent') OR contains(lower(o_orderpriority), 'high') THEN 'a' ELSE 'b' END AS band,
-      CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'unknown' END AS outcome,
-      CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 0 END AS label,
-      CASE WHEN contains(lower(o_orderpriority), 'fail') THEN 'failure' WHEN contains(lower(o_orderpriority), 'pass') THEN 'success' WHEN o_totalprice / 400000 >= 0.5 THEN 'success' ELSE 'failure' END AS generic,
-      CASE WHEN o_totalprice > 0 THEN 'success' ELSE 'failure' END AS of_pair,
-      CASE WHEN lower(trim(split_part(o_orderpriority, '-', 2))) IN ('high', 'critical', 'major', 'severe') THEN 'high' WHEN lower(trim(split_part(o_orderpriority, '-', 2))) IN ('low', 'minor', 'small') THEN 'low' ELSE 'medium' END AS severity
-    FROM orders
+      coalesce(by_words, CASE WHEN o_totalprice / 400000 >= 0.5 THEN 'success' ELSE 'failure' END) AS generic,
+      CASE WHEN word IN ('1', 'true', 'yes', 'y') THEN 'success' WHEN word IN ('0', 'false', 'no', 'n') THEN 'failure' ELSE coalesce(by_words, 'unknown') END AS normalised,
+      coalesce(exact, CASE WHEN o_totalprice - 150000 > 0 THEN 'success' ELSE 'failure' END) AS of_pair,
+      coalesce(nullif(trim(w), ''), CASE WHEN o_totalprice - 150000 > 0 THEN 'success' ELSE 'failure' END) AS of_sample,
+      CASE exact WHEN 'success' THEN 1 WHEN 'failure' THEN 0 END AS label,
+      CASE WHEN word IN ('high', 'critical', 'severe', 'major', 'important') THEN 'high' WHEN word IN ('low', 'minor', 'small', 'optional') THEN 'low' ELSE 'medium' END AS severity,
+      CASE WHEN low IN ('high', 'critical', 'major', 'important') THEN 'high' WHEN low IN ('low', 'minor', 'optional') THEN 'low' ELSE 'medium' END AS bank_severity
+    FROM p
 """)
 def outcome_rules(spark, sf_dir):
-    """Outcome and severity rules (OUT-1, OUT-4, OUT-6, CLS-3)."""
-    p = F.col("o_orderpriority")
-    outcome = F.when(F.col("o_orderstatus") == "F", oc.SUCCESS).when(F.col("o_orderstatus") == "O", oc.FAILURE).otherwise(oc.UNKNOWN)
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        F.when(F.lower(p).contains("urgent") | F.lower(p).contains("high"), "a").otherwise("b").alias("band"),
-        outcome.alias("outcome"),
-        oc.label_of(outcome).alias("label"),
-        oc.outcome_by_words(p, score=F.col("o_totalprice") / 400000).alias("generic"),
-        oc.outcome_of_pair(p, F.col("o_totalprice")).alias("of_pair"),
-        oc.severity(F.split_part(p, F.lit("-"), F.lit(2))).alias("severity"),
-    )
+    """The outcome rules and both severity rules over words that tell them apart (OUT-1, OUT-2, OUT-4 to OUT-6, CLS-3)."""
+    w, price = F.col("w"), F.col("o_totalprice")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.get(F.array(*map(F.lit, _LABELS)), (F.col("o_orderkey") % 23).cast("int")).alias("w"))
+    return rows.select(
+        "o_orderkey", oc.outcome_by_words(w, score=price / 400000).alias("generic"), oc.outcome_normalised(w).alias("normalised"), oc.outcome_of_pair(w, reward=price - 150000).alias("of_pair"),
+        oc.outcome_of_sample(w, price - 150000).alias("of_sample"), oc.label_of(oc.outcome_word(w)).alias("label"), oc.severity(w).alias("severity"), oc.severity(w, bank=True).alias("bank_severity"),
+    )
 
 
 _ORDERS = "(SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failure' ELSE 'unknown' END AS outcome FROM orders)"
@@ -395,7 +402,7 @@ _WEIGHTS = f"""
 def _weights(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     d = vec.query_distances(rows.where(F.col("id") % 100 == 0), rows)  # the query set of searches: ids divisible by 100
-    return d.select("a", "b", vec.softmax_of_distances(F.col("distance"), ["a"]).alias("weight"))
+    return vec.with_softmax(d, "distance", ["a"], 0.05, "weight").select("a", "b", "weight")
 
 
 @query(_WEIGHTS + "SELECT a, b, round(weight, 6) AS weight FROM w")
@@ -473,19 +480,35 @@ def weighted_severity_mean(spark, sf_dir):
 
 
 @query("""
-    SELECT p_brand, count(*) AS n, CAST(count(*) - count(DISTINCT lower(trim(p_type))) AS BIGINT) AS duplicates, count(*) < 3 AS too_few, count(*) > 6 AS too_many, max(p_size) <= 1 AS singleton FROM part GROUP BY p_brand
+    WITH p AS (SELECT p_brand, p_partkey, p_size, lower(trim(p_type)) AS d, p_size % 5 = 0 AS leaks FROM part),
+    t AS (SELECT p_brand, d, count(*) AS n, min(p_partkey) AS spot FROM p GROUP BY p_brand, d),
+    w AS (SELECT p_brand, string_agg(d, ',' ORDER BY spot) FILTER (n > 1) AS twice FROM t GROUP BY p_brand),
+    g AS (SELECT p_brand, count(*) AS n, max(p_size) AS size, count(*) FILTER (leaks) AS hits, count(*) FILTER (p_size % 3 = 0) AS told FROM p GROUP BY p_brand)
+    SELECT p_brand AS cluster_id, n AS rubric_count, concat_ws(',', CASE WHEN twice IS NOT NULL THEN 'duplicate_dimensions' END, CASE WHEN n < 3 THEN 'too_few_rubrics' END, CASE WHEN n > 6 THEN 'too_many_rubrics' END, CASE WHEN size % 2 = 0 THEN 'singleton_cluster' END, CASE WHEN hits > 0 THEN 'instance_leakage' END) AS flags,
+           md5(coalesce(twice, '')) AS twice, least(hits, 20) AS listed, round(told::DOUBLE / n, 6) AS told_share
+    FROM g JOIN w USING (p_brand)
 """)
 def static_audit(spark, sf_dir):
-    """Duplicate, few and many criteria of a group (AGG-16)."""
-    return scoring.audit(table(spark, sf_dir, "part"), "p_brand", "p_type", "p_size")
+    """Flags of groups of criteria: repeated dimensions, few and many criteria, single members, identifiers; coverage of fields (AGG-16, AGG-17, FLT-11)."""
+    none = F.array().cast("array<string>")
+    evidence = F.when(F.col("p_size") % 3 == 0, F.array(F.lit("seen"))).otherwise(none)
+    criterion = F.when(F.col("p_size") % 5 == 0, "see https://a.example/x").otherwise("plain")
+    r = F.struct(F.col("p_type").alias("dimension"), criterion.alias("criterion"), evidence.alias("positive_evidence"), none.alias("negative_evidence"), F.lit("low").alias("severity"), F.lit("").alias("verification_guide"))
+    rows = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("cluster_id")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", r.alias("r")))).alias("x"), F.when(F.max("p_size") % 2 == 0, 1).otherwise(2).alias("cluster_size")
+    )
+    got = judging.static_audit(rows.withColumn("rubrics", F.transform("x", lambda x: x["r"])))
+    twice = F.array_join(F.flatten(F.transform("flags", lambda f: f["values"])), ",")
+    return got.select("cluster_id", "rubric_count", F.array_join(F.transform("flags", lambda f: f["type"]), ",").alias("flags"), F.md5(twice).alias("twice"), F.size("leakage_hits").cast("long").alias("listed"), F.round("field_coverage.positive_evidence", 6).alias("told_share"))
 
 
 @query("""
-    SELECT doc_id, len(regexp_extract_all(text, '(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b')) AS n_uuid, len(regexp_extract_all(text, '\\b[A-Z]{2,5}[0-9]{5,}\\b')) AS n_record, len(regexp_extract_all(text, 'https?://[^ ]+')) AS n_url,
-           len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]{2,}')) AS n_email, len(regexp_extract_all(text, '\\b[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\b')) AS n_ipv4 FROM documents
+    SELECT doc_id, len(regexp_extract_all(text, '(?i)#?[0-9a-f]{6,}-[0-9a-f]?')) AS n_uuid_or_series_id, len(regexp_extract_all(text, '\\b(?:RITM|INC|PRB|CHG|EXP)\\d{4,}\\b')) AS n_record_number,
+           len(regexp_extract_all(text, 'https?://|\\.do\\b|/now/nav|/catalogsearch')) AS n_literal_url_or_path, len(regexp_extract_all(text, '(?:click|fill|select_option|upload_file)\\(''[A-Za-z0-9_]+''')) AS n_literal_action_id,
+           len(regexp_extract_all(text, '\\b[A-Z][a-z]+-[A-Z][a-z]+\\s+[A-Z][a-z]+-[A-Z][a-z]+\\b')) AS n_hyphenated_person_name FROM documents
 """)
 def leakage_hits(spark, sf_dir):
-    """Identifiers in texts, by family (FLT-11)."""
+    """Identifiers in texts, by kind (FLT-11)."""
     return table(spark, sf_dir, "documents").select("doc_id", *scoring.leak_counts(F.col("text")))
 
 
@@ -517,8 +540,9 @@ def events_type_features(spark, sf_dir):
 def card_priority_sort(spark, sf_dir):
     """Cards in order of priority, in chunks of 32 (CLS-5, TOP-8, WIN-14)."""
     kind = F.col("event_type")
-    as_card = F.when(kind == "purchase", "task").when(kind == "error", "risk").when(kind == "click", "observation")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.coalesce(oc.card_priority(as_card), F.lit(7)).alias("priority"))
+    name = F.when(kind == "purchase", "Task_Context").when(kind == "error", "x").when(kind == "click", "evidence_observation_2")
+    role = F.when(kind == "error", "negative_or_side_effect_evidence")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", oc.card_priority(name, role).alias("priority"))
     return sequences.chunk_number(rows, "user_id", ["priority", "event_id"], 32)
 
 
@@ -587,8 +611,8 @@ def conversation_summaries(spark, sf_dir):
     )
     grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", event.alias("e")))).alias("x"), F.min_by("text", "turn").alias("task"))
     as_variant = F.transform("x", lambda x: F.parse_json(F.to_json(x["e"])))
-    records = grouped.select(F.col("conv_id").cast("string").alias("record_id"), "task", F.lit(None).cast("string").alias("outcome_text"), as_variant.alias("trace"), F.parse_json(F.lit("{}")).alias("metadata"), F.lit("").alias("source_path"))
-    return traces.summaries(records).select("record_id", "outcome", "n_steps", F.size("cards").alias("n_cards"), F.size("final_cues").alias("n_final_cues"))
+    records = grouped.select(F.col("conv_id").cast("string").alias("record_id"), "task", F.lit(oc.UNKNOWN).alias("outcome"), as_variant.alias("trace"), F.create_map().cast("map<string,variant>").alias("metadata"), F.lit(None).cast("variant").alias("chat_messages"), F.lit(None).cast("string").alias("load_error"), F.lit("").alias("source_path"))
+    return traces.summaries(records).select("record_id", "outcome", "n_steps", F.size("cards").alias("n_cards"), F.size("final_state.evidence_lines").alias("n_final_lines"))
 
 
 @query("""
