@@ -432,6 +432,8 @@ def test_token_counts(spark, docs, empty):
     want = Counter((r["doc_id"], len((r["text"] or "").encode()), len(sp.encode(r["text"] or ""))) for r in both.collect())
     got = token_counts.count_tokens(both, path).collect()
     assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in got) == want
+    for most in (0, 20):  # all or most pre-tokens meet their counts by exchange
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(both, path, frequent=most).collect()) == want
     assert all(r["over_limit"] == (r["n_tokens"] > 4096) for r in got) and token_counts.count_tokens(empty, path).count() == 0
 
 
