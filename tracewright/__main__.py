@@ -1,4 +1,4 @@
-"""Jobs: python -m tracewright parse|pairs|cluster|query … --out FOLDER."""
+"""Jobs: python -m tracewright parse|pairs|cluster|audit|judged|query … --out FOLDER."""
 
 from __future__ import annotations
 
@@ -6,29 +6,39 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from .operators import clusters, pairs, traces
+from .operators import clusters, judging, pairs, traces
 from .plans import QUERIES
 from .session import session
-from .sources import readers
+from .sources import benchmark, readers, sinks
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="tracewright", description=__doc__)
-    p.add_argument("job", choices=["parse", "pairs", "cluster", "query"])
-    p.add_argument("input", help="traces; parsed traces; (id, vector) Parquet; or a folder of tables")
+    p.add_argument("job", choices=["parse", "pairs", "cluster", "audit", "judged", "query"])
+    p.add_argument("input", help="traces; parsed traces; (id, vector), criteria or scores as Parquet; or a folder of tables")
     p.add_argument("--out", required=True)
-    p.add_argument("--format", choices=["json", "jsonl", "yaml", "csv", "tree"])
+    p.add_argument("--format", choices=["json", "jsonl", "yaml", "csv", "tree", "folder", "benchmark"])
     p.add_argument("--name", help="of the query")
     p.add_argument("--seed", type=int, default=42)
     p.add_argument("--limit", type=int)
+    p.add_argument("--include-chat", action="store_true")
+    p.add_argument("--observation-chars", type=int, default=2400)
+    p.add_argument("--observation-policy", choices=benchmark.POLICIES, default="all")
     p.add_argument("--master", default="local[*]")
     a = p.parse_args(argv)
     spark = session(a.master)
     if a.job == "parse":
-        out = traces.summaries(readers.canonical(readers.read_records(spark, a.input, a.format, a.limit)))
-        out = out.select("*", *readers.path_fields(F.col("source_path")))
+        options = readers.Options(limit=a.limit, include_chat=a.include_chat, observation_chars=a.observation_chars, observation_policy=a.observation_policy)
+        records = benchmark.read_benchmark(spark, a.input, options=options) if a.format == "benchmark" else readers.canonical(readers.read_records(spark, a.input, a.format, options=options), options)
+        relative = readers.below(F.col("source_path"), a.input)
+        out = sinks.with_provenance(traces.summaries(records), relative)
+        out = out.select("*", *readers.path_fields(F.col("relative_source_path")))
     elif a.job == "pairs":
         out = pairs.pick_pairs(spark.read.parquet(a.input), ["domain", "jobname"], "record_id", a.seed)
+    elif a.job == "audit":
+        out = judging.static_audit(spark.read.parquet(a.input))
+    elif a.job == "judged":
+        out = judging.judged_groups(spark.read.parquet(a.input))
     elif a.job == "cluster":
         out = clusters.cluster_tasks(spark.read.parquet(a.input))
     else:
