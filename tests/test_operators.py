@@ -124,7 +124,7 @@ def test_budget_definition(lines, budget):
 
 def test_fit_budget(spark):
     df = spark.createDataFrame([(["aaaa", "bb", "c"],), (["x" * 50, "b"],), ([],)], "l array<string>")
-    assert [r[0] for r in df.select(sequences.fit_budget(F.col("l"), 8)).collect()] == [["aaaa", "bb"], ["x" * 50], []]
+    assert [r[0] for r in df.select(sequences.fit_budget(F.col("l"), 8)).collect()] == [["aaaa", "bb"], ["x" * 12 + " ...[truncated]"], []]
 
 
 def test_outcomes_differ_on_purpose(spark):
