@@ -122,7 +122,7 @@ def test_steps_of_all_turns_equal_a_parser_by_lines(spark):
         said = f"Reasoning: {r['text']}\n" if r["role"] == "assistant" and r["text"] is not None else ""
         written[r["conv_id"]] += f"Step: {r['turn']}\nAction: {r['role']}()\n{said}-----\n"
     want = Counter((i, *s) for i, text in written.items() for s in read_steps(text))
-    got = Counter((r["conv_id"], r["turn"], r["thought"], r["action"]) for r in QUERIES["text_steps_whole"](spark, data).collect())
+    got = Counter((r["conv_id"], r["turn"], r["thought"], r["action"]) for r in QUERIES["text_steps"](spark, data).collect())
     assert got == want and sum(got.values()) >= len(turns) and any("truncated" in r[2] for r in got)
 
 
