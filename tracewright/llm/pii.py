@@ -23,10 +23,16 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 
-# What a disguise may write for a digit.
+# What a disguise may write for a digit, in English, French, German and Spanish.
 _SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Spoken signs in the same languages, and words after a spoken "at" that begin no domain.
+_PLUS, _AT, _DOT, _DASH = "plus|más|mas", "at|arobase|klammeraffe|arroba", "dot|point|punkt|punto", "dash|tiret|strich|guion|guión"
+_NO_DOMAIN = "the|a|an|this|that|these|those|my|your|his|her|its|our|their|some|any|each|every|all|one|what|which|least|most|last|first|once"
 # Letters of other scripts that look like ASCII ones (compatibility forms come from Unicode itself).
 _LOOKALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n", "ӏ": "l",
@@ -35,19 +41,25 @@ _LOOKALIKE = {
     "‐": "-", "‑": "-", "‒": "-", "–": "-", "。": ".", "․": ".", "·": ".",
 }
 _INVISIBLE = frozenset("​‌‍⁠﻿­")
-_WORD = "|".join(_SPELLED)
-_ITEM = rf"(?:{_WORD}|[0-9]|plus|dot|point|dash|double|triple)"
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z])(?:{_WORD}|plus|double|triple)(?:[\x20,._-]{{1,2}}{_ITEM}){{3,}}(?![A-Za-z])", re.I)
-_SPELLED_WORD = re.compile(rf"(double|triple)[\x20,._-]{{1,2}}({_WORD}|[0-9])|({_WORD})|(plus)|(dot|point)|(dash)", re.I)
+_WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
+_LETTER = "A-Za-z\u00c0-\u00ff"
+_ITEM = rf"(?:{_WORD}|[0-9]|{_PLUS}|{_DOT}|{_DASH}|double|triple)"
+_SPELLED_RUN = re.compile(rf"(?<![{_LETTER}])(?:{_WORD}|{_PLUS}|double|triple)(?:[\x20,._-]{{1,2}}{_ITEM}){{3,}}(?![{_LETTER}])", re.I)
+_SPELLED_WORD = re.compile(rf"(double|triple)[\x20,._-]{{1,2}}({_WORD}|[0-9])|({_WORD})|({_PLUS})|({_DOT})|({_DASH})", re.I)
 _GAP = re.compile(r"(?<=[0-9+.\-])[\x20,_]{1,2}(?=[0-9+.\-])")
 _AT_MARK = re.compile(r"[\x20]?(?:\[[\x20]?(?:at|@)[\x20]?\]|\([\x20]?(?:at|@)[\x20]?\)|\{[\x20]?(?:at|@)[\x20]?\}|<[\x20]?at[\x20]?>)[\x20]?", re.I)
 _DOT_MARK = re.compile(r"[\x20]?(?:\[[\x20]?(?:dot|\.)[\x20]?\]|\([\x20]?(?:dot|\.)[\x20]?\)|\{[\x20]?(?:dot|\.)[\x20]?\}|<[\x20]?dot[\x20]?>)[\x20]?", re.I)
 # Top-level domains that a spoken address may end with.
-_SPOKEN_ENDS = "com|org|net|edu|gov|info|biz|io|co|uk|de|fr|es|it|nl|eu|us|ca|au|ch|at|be|jp|cn|in|br|ru|pl|se|no|dev|app|me|tv"
-_SPOKEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|[\x20]dot[\x20])[A-Za-z0-9_%+-]+)*[\x20]at[\x20][A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)*[\x20]dot[\x20](?:" + _SPOKEN_ENDS + r")(?![A-Za-z0-9-])", re.I)
-_SPOKEN_MARK = re.compile(r"[\x20](?:(at)|dot)[\x20]", re.I)
-_MARKS = re.compile(r"\b(?:at|dot)\b", re.I)
-_ODD = re.compile(r"[^\x00-\xff]|[\xad]")
+_SPOKEN_ENDS = "com|org|net|edu|gov|info|biz|io|ai|co|uk|de|fr|es|it|nl|eu|us|ca|au|ch|at|be|jp|cn|in|br|mx|ar|ru|pl|se|no|dev|app|me|tv"
+_DOTS = rf"(?:\.|\x20(?:{_DOT})\x20)"
+_SPOKEN_AT = re.compile(rf"@|\x20(?:{_AT})\x20(?!(?:{_NO_DOMAIN})\x20)", re.I)
+_SPOKEN_HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOTS}[A-Za-z0-9-]++)++", re.I)
+_HOST_END = re.compile(rf"{_DOTS}(?:{_SPOKEN_ENDS})(?![A-Za-z0-9-])", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOTS}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_SPOKEN_DOT = re.compile(rf"\x20(?:{_DOT})\x20", re.I)
+_DOT_BEFORE = re.compile(rf"\x20(?:{_DOT})\x20\Z", re.I)
+_HINT = re.compile(rf"[\[({{<]\x20?(?:at|@|dot|\.)\x20?[\])}}>]|\x20(?:{_DOT})\x20", re.I)
+_ODD = re.compile("[^\x00-\xff]|[\xa0\xaa\xad\xb2\xb3\xb7\xb9\xba]")
 
 
 def luhn(digits: str) -> bool:
@@ -159,12 +171,52 @@ def _spelled(t: Transduced) -> None:
     t.rewrite([(m.start(), m.end(), "") for m in _GAP.finditer(t.text) if t.spans[m.start() - 1][2] and t.spans[m.end()][2]])
 
 
+def _local_dots(text: str, at: int, free: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """Start of the local part that ends at a place, not before `free`, and its spoken dots."""
+    start, dots = at, []
+    while True:
+        s = start
+        while s > free and text[s - 1] in _LOCAL:
+            s -= 1
+        if s == start:  # nothing stands before the last spoken dot
+            return (dots.pop()[1], dots) if dots else (start, dots)
+        start = s
+        m = _DOT_BEFORE.search(text, max(free, s - 7), s)
+        if not m:
+            return start, dots
+        dots.append((m.start(), s, "."))
+        start = m.start()
+
+
+def _spoken(t: Transduced) -> list[tuple[int, int, str]]:
+    """Spoken signs of addresses and of dotted numbers, each read by itself.
+
+    A spoken "at" counts only before a disguised dot, as plain names of hosts follow it in prose.
+    Scans start at signs and never go back over a match, so that long texts cost linear time.
+    """
+    edits, free = [], 0
+    for sign in _SPOKEN_AT.finditer(t.text):
+        if sign.start() < free or not (host := _SPOKEN_HOST.match(t.text, sign.end())):
+            continue
+        ends = [m.end() for m in _HOST_END.finditer(t.text, host.start(), host.end())]
+        after = [(m.start(), m.end(), ".") for m in _SPOKEN_DOT.finditer(t.text, host.start(), ends[-1])] if ends else []
+        spoken = sign[0] != "@"
+        if ends and (not spoken or after or any(t.text[i] == "." and t.changed(i, i + 1) for i in range(host.start(), ends[-1]))):
+            start, before = _local_dots(t.text, sign.start(), free)
+            if start < sign.start():
+                edits += before + ([(sign.start(), sign.end(), "@")] if spoken else []) + after
+        free = host.end()
+    for run in _SPOKEN_IP.finditer(t.text):
+        edits += [(m.start(), m.end(), ".") for m in _SPOKEN_DOT.finditer(t.text, run.start(), run.end())]
+    edits.sort()
+    return [e for i, e in enumerate(edits) if not i or e[0] >= edits[i - 1][1]]
+
+
 def _at_dot(t: Transduced) -> None:
     t.rewrite([(m.start(), m.end(), "@") for m in _AT_MARK.finditer(t.text)])
     t.rewrite([(m.start(), m.end(), ".") for m in _DOT_MARK.finditer(t.text)])
-    if re.search(r"\x20dot\x20", t.text, re.I):
-        edits = [(m.start(), m.end(), "@" if m[1] else ".") for run in _SPOKEN.finditer(t.text) for m in _SPOKEN_MARK.finditer(t.text, run.start(), run.end())]
-        t.rewrite(edits)
+    if t.spans is not None or _SPOKEN_DOT.search(t.text):
+        t.rewrite(_spoken(t))
 
 
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
@@ -174,23 +226,24 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
     other span of its kind.
     """
     odd = not text.isascii() and _ODD.search(text)
-    low = text if odd else None
-    if not odd and not re.search(r"[\[({<]\x20?(?:at|@|dot|\.)\x20?[\])}>]|\x20dot\x20", text, re.I) and not _SPELLED_RUN.search(text):
+    if not odd and not _HINT.search(text) and not _SPELLED_RUN.search(text):
         return []
     t = Transduced(text)
-    if low is not None:
+    if odd:
         _homoglyphs(t)
     _at_dot(t)
     _spelled(t)
     if t.spans is None:
         return []
     out: list[Span] = []
-    taken = [(s, e) for _, s, e in base]
+    taken = bytearray(len(text))
+    for _, s, e in base:
+        taken[s:e] = b"\x01" * (e - s)
     for kind, s, e in find_base(t.text):
         start, end = t.source(s, e)
-        if t.changed(s, e) and not any(start < y and x < end for x, y in taken):
+        if t.changed(s, e) and taken.find(1, start, end) < 0:
             out.append((kind, start, end))
-            taken.append((start, end))
+            taken[start:end] = b"\x01" * (end - start)
     return out
 
 
