@@ -74,8 +74,8 @@ def with_retry(call: Callable, attempts: int = 5, first: float = 2, most: float
             sleep(min(most, first * 2**k))
 
 
-def complete_all(prompts: DataFrame, client: Callable[[], ModelClient], key: str, prompt: str = "prompt") -> DataFrame:
-    """(key, answer, model_error): one call a row; a failed call gives an error, not an end."""
+def complete_all(prompts: DataFrame, client: Callable[[], ModelClient], key: str, prompt: str = "prompt", attempts: int = 5) -> DataFrame:
+    """(key, answer, model_error): one call a row, tried again when it fails; the last failure is an error of the row, not an end."""
     ship(prompts.sparkSession)
     kind = prompts.schema[key].dataType.simpleString()
 
@@ -85,7 +85,7 @@ def complete_all(prompts: DataFrame, client: Callable[[], ModelClient], key: str
             out = []
             for k, p in zip(b[key], b[prompt], strict=True):
                 try:
-                    out.append((k, with_retry(lambda p=p: made.complete([{"role": "user", "content": p}])), None))
+                    out.append((k, with_retry(lambda p=p: made.complete([{"role": "user", "content": p}]), attempts), None))
                 except Exception as e:
                     out.append((k, None, str(e)))
             yield pd.DataFrame(out, columns=[key, "answer", "model_error"])
