@@ -44,7 +44,8 @@ _INVISIBLE = frozenset("​‌‍⁠﻿­")
 _WORD = "|".join(sorted(_SPELLED, key=len, reverse=True))
 _LETTER = "A-Za-z\u00c0-\u00ff"
 _ITEM = rf"(?:{_WORD}|[0-9]|{_PLUS}|{_DOT}|{_DASH}|double|triple)"
-_SPELLED_RUN = re.compile(rf"(?<![{_LETTER}])(?:{_WORD}|{_PLUS}|double|triple)(?:[\x20,._-]{{1,2}}{_ITEM}){{3,}}(?![{_LETTER}])", re.I)
+_RUN = rf"(?<![{_LETTER}])(?:{_WORD}|{_PLUS}|double|triple)(?:[\x20,._-]{{1,2}}{_ITEM}){{3,}}(?![{_LETTER}])"
+_SPELLED_RUN, _SPELLED_LOW = re.compile(_RUN, re.I), re.compile(_RUN)
 _SPELLED_WORD = re.compile(rf"(double|triple)[\x20,._-]{{1,2}}({_WORD}|[0-9])|({_WORD})|({_PLUS})|({_DOT})|({_DASH})", re.I)
 _GAP = re.compile(r"(?<=[0-9+.\-])[\x20,_]{1,2}(?=[0-9+.\-])")
 _AT_MARK = re.compile(r"[\x20]?(?:\[[\x20]?(?:at|@)[\x20]?\]|\([\x20]?(?:at|@)[\x20]?\)|\{[\x20]?(?:at|@)[\x20]?\}|<[\x20]?at[\x20]?>)[\x20]?", re.I)
@@ -154,7 +155,14 @@ def _homoglyphs(t: Transduced) -> None:
     t.rewrite([(m.start(), m.end(), p) for m in _ODD.finditer(t.text) if (p := _plain(m[0])) is not None])
 
 
+def _has_spelled(text: str) -> bool:
+    """Whether a run of spelled digits may lie here; searching lowered text takes a third of the time."""
+    return bool(_SPELLED_LOW.search(text.lower()))
+
+
 def _spelled(t: Transduced) -> None:
+    if not _has_spelled(t.text):
+        return
     edits = []
     for run in _SPELLED_RUN.finditer(t.text):
         for m in _SPELLED_WORD.finditer(t.text, run.start(), run.end()):
@@ -226,7 +234,7 @@ def find_disguised(text: str, base: list[Span]) -> list[Span]:
     other span of its kind.
     """
     odd = not text.isascii() and _ODD.search(text)
-    if not odd and not _HINT.search(text) and not _SPELLED_RUN.search(text):
+    if not odd and not _HINT.search(text) and not _has_spelled(text):
         return []
     t = Transduced(text)
     if odd:
