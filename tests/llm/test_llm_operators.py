@@ -535,3 +535,14 @@ def test_hot_text_is_subdivided(spark):
 def test_look_alikes_are_not_letters_of_their_own():
     assert all(ord(c) > 127 and len(p) == 1 for c, p in pii._LOOKALIKE.items())
     assert unicodedata.normalize("NFKC", "＠") == "@"
+
+
+def test_archives_end_at_a_bound_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 3_000)
+    rows = [(i, f"http://h/{i}", "x" * (1_000 + i)) for i in range(20)] + [(99, "http://h/long", "y" * 300_000)]
+    made = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1))
+    assert made.count() >= 6
+    back = {r["page_id"]: r["payload_bytes"] for r in warc.read_archives(made).collect()}
+    assert back == {i: len(h) for i, _, h in rows}
+    with pytest.raises(ValueError, match="ends early"):
+        list(warc.read_warc(made.first()["content"][:-5]))

@@ -23,6 +23,8 @@ ARC_FIELDS = {
 }
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
+#: Payload bytes after which an archive ends, and bytes that a reader takes at once.
+ARCHIVE_BYTES, PIECE = 8 << 20, 1 << 16
 _UNSAFE = re.compile(r"[\s\x00-\x20\x7f]")
 _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -157,10 +159,16 @@ def convert(data: bytes, original_of: Callable[[ArcRecord], Original | None] = l
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Named fields and block of each record of a WARC file with gzip members."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data)
-        data = z.unused_data
+    at = 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:  # by pieces, so that what follows a member is not copied with each
+            piece = data[at : at + PIECE]
+            if not piece:
+                raise ValueError("a record ends early")
+            parts.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        raw = b"".join(parts)
         end = raw.index(b"\r\n\r\n")
         lines = raw[:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -196,22 +204,30 @@ def write_archives(pages: DataFrame, date: str = "20240101000000", least: int =
     joined = rows.join(groups, (rows["digest"] == groups["of"]) & (rows["bytes"] >= least), "left")
     ready = joined.select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("kept_id")), F.col("kept_id")).alias("kept_id"), "kept_url")
 
+    def archive(version: int, pages: list[tuple]) -> pa.RecordBatch:
+        name = f"part-{uuid.uuid4().hex}.arc"
+        arc, size, originals = [arc_header(version, name, date)], 0, {}
+        for page, url, payload, kept, kept_url in pages:
+            tag = "" if page is None else str(page)
+            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {tag}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+            if kept is not None:
+                originals[len(arc)] = Original(str(kept), safe_url(kept_url, kept))
+            arc.append(arc_record(version, safe_url(url, tag), date, "text/html", head + payload, name, size))
+            size += len(arc[-1])
+        at = iter(range(len(arc)))
+        warc = convert(b"".join(arc), lambda _: originals.get(next(at)))
+        return pa.RecordBatch.from_arrays([pa.array([name.replace(".arc", ".warc.gz")]), pa.array([warc], pa.binary())], ["archive", "content"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(batches):
-            version = 1 + k % 2
-            name = f"part-{uuid.uuid4().hex}.arc"
-            arc, size, originals = [arc_header(version, name, date)], 0, {}
+        done = 0
+        for b in batches:
+            pages, size = [], 0
             for r in range(b.num_rows):
-                page, url, payload, kept, kept_url = (b.column(i)[r].as_py() for i in range(5))
-                tag = "" if page is None else str(page)
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {tag}\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-                if kept is not None:
-                    originals[len(arc)] = Original(str(kept), safe_url(kept_url, kept))
-                arc.append(arc_record(version, safe_url(url, tag), date, "text/html", head + payload, name, size))
-                size += len(arc[-1])
-            at = iter(range(len(arc)))
-            warc = convert(b"".join(arc), lambda _, at=at, originals=originals: originals.get(next(at)))
-            yield pa.RecordBatch.from_arrays([pa.array([name.replace(".arc", ".warc.gz")]), pa.array([warc], pa.binary())], ["archive", "content"])
+                pages.append(tuple(b.column(i)[r].as_py() for i in range(5)))
+                size += len(pages[-1][2])
+                if size >= ARCHIVE_BYTES or r == b.num_rows - 1:
+                    yield archive(1 + done % 2, pages)
+                    done, pages, size = done + 1, [], 0
 
     return ready.mapInArrow(run, "archive string, content binary")
 
