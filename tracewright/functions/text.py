@@ -62,9 +62,9 @@ def one_line(c: Column, limit: int, reserve: int = 20) -> Column:
     return let(norm_ws(c), lambda t: F.when(F.length(t) <= limit, t).otherwise(cut(t)))
 
 
-def tokens(c: Column) -> Column:
-    """Single CJK characters, or runs of ASCII letters, digits and underscores, lowered, without stopwords."""
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[一-鿿]|[a-z0-9_]+"), 0), lambda t: ~t.isin(STOPWORDS))
+def tokens(c: Column, cjk: bool = True) -> Column:
+    """Single CJK characters (unless left out), or runs of ASCII letters, digits and underscores, lowered, without stopwords."""
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(r"[一-鿿]|[a-z0-9_]+" if cjk else "[a-z0-9_]+"), 0), lambda t: ~t.isin(STOPWORDS))
 
 
 def ordered_distinct(items: Column) -> Column:

@@ -111,10 +111,11 @@ def cluster_text(task: Column, outcome: Column, features: Column, timeline: Colu
     return F.concat_ws("\n", part("task", task), part("outcome", outcome), part("tools", F.array_join(features["tool_names"], ", ")), part("strategy", features["strategy_signature"]), part("trace", timeline))
 
 
-def keywords(rows: DataFrame, key: str, text: str, k: int = 8) -> DataFrame:
-    """(key, token, n, rank_no): the k most frequent tokens of each text, the first seen of equals; "misc" where there are none."""
-    each = rows.select(key, F.posexplode_outer(tx.tokens(F.coalesce(F.col(text), F.lit("")))).alias("at", "token"))
-    counts = each.groupBy(key, F.coalesce("token", F.lit("misc")).alias("token")).agg(F.count("*").alias("n"), F.min("at").alias("at"))
+def keywords(rows: DataFrame, key: str, text: str, k: int = 8, none: str | None = "misc", cjk: bool = True) -> DataFrame:
+    """(key, token, n, rank_no): the k most frequent tokens of each text, the first seen of equals; where there are none, the word given for that, or no row."""
+    explode = F.posexplode if none is None else F.posexplode_outer
+    each = rows.select(key, explode(tx.tokens(F.coalesce(F.col(text), F.lit("")), cjk)).alias("at", "token"))
+    counts = each.groupBy(key, F.coalesce("token", F.lit(none)).alias("token")).agg(F.count("*").alias("n"), F.min("at").alias("at"))
     ranked = counts.withColumn("rank_no", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "at")).cast("long"))
     return ranked.where(F.col("rank_no") <= k).drop("at")
 
