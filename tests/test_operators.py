@@ -96,6 +96,24 @@ def test_clusters_do_not_depend_on_partitions(spark):
     assert {r[2] for r in got[0]} == {10}
 
 
+def test_linkages_equal_the_one_over_all_distances():
+    rng = np.random.default_rng(5)
+    for k in range(30):
+        x = rng.standard_normal((5, 8))[rng.integers(0, 5, 50)] + (0.1, 0.5, 1.0)[k % 3] * rng.standard_normal((50, 8))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x[rng.integers(0, 50)] = 0
+        cuts = (0.48, 0.3, 0.54)
+        got = clusters.linkages(x, cuts, at_once=7)
+        want = [clusters.average_linkage(np.clip(1 - x @ x.T, 0, 2), c) for c in cuts]
+        assert [g.tolist() for g in got] == [w.tolist() for w in want]
+        share = sum((g[:, None] == g[None]).astype(float) for g in got) / 3
+        final = clusters.consensus_labels(got, 0.5)
+        assert final.tolist() == clusters.average_linkage(1 - share, 0.5).tolist()
+        same = final[:, None] == final[None]
+        others = same.sum(1) - 1
+        assert np.allclose(clusters.strengths(got, final), np.where(others > 0, ((share * same).sum(1) - 1) / np.maximum(others, 1), 1.0))
+
+
 def test_auc(spark):
     data = [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (0, None)]
     got = scoring.auc(spark.createDataFrame(data, "y int, s double"), "y", "s").first()

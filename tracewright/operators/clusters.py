@@ -13,8 +13,6 @@ from ..session import ship
 
 # Thresholds of the ensemble, and of the consensus.
 THRESHOLDS, CONSENSUS, MIN_SIZE = (0.30, 0.36, 0.42, 0.48, 0.54), 0.60, 2
-#: Rows of a component up to which its distances are held by one task.
-MOST_ROWS = 5_000
 
 
 def average_linkage(d: np.ndarray, cut: float, inclusive: bool = False) -> np.ndarray:
@@ -37,9 +35,78 @@ def average_linkage(d: np.ndarray, cut: float, inclusive: bool = False) -> np.nd
     return label
 
 
-def consensus_of(labels: list[np.ndarray]) -> np.ndarray:
-    """Share of the runs in which two rows have the same label."""
-    return sum((x[:, None] == x[None]).astype(float) for x in labels) / len(labels)
+def linkages(x: np.ndarray, cuts: tuple[float, ...], inclusive: bool = False, at_once: int = 512) -> list[np.ndarray]:
+    """Labels of average linkage at each cut, for the cosine distances of unit vectors or zero ones.
+
+    The mean cosine of two clusters is that of their sums, so no distances are held: the memory is
+    that of the rows. Merging never brings a cluster nearer to another than the nearer part was, so
+    a distance to a nearest cluster that was merged since stays a lower bound, and is worked out
+    again only when it is the least. Least pairs merge first, of equal ones that of the first rows;
+    larger cuts go on from smaller ones, so their clusters are nested.
+    """
+    n = len(x)
+    sums, size, label = x.astype(float), np.ones(n), np.arange(n)
+    rows = np.arange(n)  # of the clusters that are left, in order; a merged one is left out when a quarter is
+    gone = np.zeros(n)
+    near, least = np.zeros(n, np.int64), np.full(n, np.inf)
+    fresh = np.ones(n, bool)
+
+    def look(at: np.ndarray) -> None:
+        d = np.clip(1 - (sums[at] @ sums.T) / (size[at][:, None] * size), 0, 2) + gone
+        d[np.arange(len(at)), at] = np.inf
+        near[at] = d.argmin(1)
+        least[at], fresh[at] = d[np.arange(len(at)), near[at]], True
+
+    for lo in range(0, n, at_once):
+        look(np.arange(lo, min(lo + at_once, n)))
+    out: dict[float, np.ndarray] = {}
+    for cut in sorted(set(cuts)):
+        while len(rows) > 1:
+            i = int(least.argmin())
+            if not (least[i] <= cut if inclusive else least[i] < cut):
+                break
+            if not fresh[i]:
+                look(np.array([i]))
+                continue
+            i, j = sorted((i, int(near[i])))
+            label[label == rows[j]] = rows[i]
+            sums[i] += sums[j]
+            size[i] += size[j]
+            gone[j], least[j] = np.inf, np.inf
+            fresh[(near == i) | (near == j)] = False
+            look(np.array([i]))
+            if 4 * np.count_nonzero(gone) > len(rows):
+                left = np.flatnonzero(gone == 0)
+                place = np.zeros(len(rows), np.int64)
+                place[left] = np.arange(len(left))
+                near = place[near[left]]  # that of a row that is not fresh means nothing
+                rows, sums, size, gone, least, fresh = rows[left], sums[left], size[left], gone[left], least[left], fresh[left]
+        out[cut] = label.copy()
+    return [out[cut] for cut in cuts]
+
+
+def consensus_labels(labels: list[np.ndarray], consensus: float, inclusive: bool = False) -> np.ndarray:
+    """Labels of average linkage of 1 less the share of runs in which two rows are together, for nested runs.
+
+    Shares of nested runs are levels of one tree, which average linkage gives back: rows are
+    together where they are in so many runs, the coarsest ones, that 1 less that share is within the cut.
+    """
+    runs, cut = len(labels), 1 - consensus
+    enough = [m for m in range(runs + 1) if (1 - m / runs <= cut if inclusive else 1 - m / runs < cut)]
+    if not enough:
+        return np.arange(len(labels[0]))
+    coarsest = sorted(labels, key=lambda x: len(np.unique(x)))
+    return coarsest[enough[0] - 1] if enough[0] else np.zeros_like(labels[0])
+
+
+def strengths(labels: list[np.ndarray], final: np.ndarray) -> np.ndarray:
+    """Mean share of runs in which a row is with each other one of its final cluster; 1 for a row alone."""
+    others = np.bincount(final, minlength=len(final))[final] - 1
+    together = np.zeros(len(final), np.int64)
+    for x in labels:
+        _, group, count = np.unique(final * len(final) + x, return_inverse=True, return_counts=True)
+        together += count[group] - 1
+    return np.where(others > 0, together / len(labels) / np.maximum(others, 1), 1.0)
 
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
@@ -64,31 +131,27 @@ def cluster_tasks(rows: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, c
     """id, cluster_id, cluster_size, consensus_strength, labels of rows (id, vector).
 
     Average linkage below a cut never joins rows of different components of the graph of pairs
-    within the cut, so each component of the largest threshold is clustered by itself. One of
-    more than MOST_ROWS rows is an error, as it needs all its distances.
+    within the cut, so each component of the largest threshold is clustered by itself, in one task
+    that holds its vectors but not their distances.
     """
     ship(rows.sparkSession)
     edges = pair_distances(rows.select("id", "vector"), max(thresholds))
     placed = rows.join(components(edges, rows), "id")
 
     def one(group: pa.Table) -> pa.Table:
-        if group.num_rows > MOST_ROWS:
-            raise ValueError(f"a component of {group.num_rows} rows; lower the thresholds")
         order = np.argsort(group["id"].to_numpy())
         ids = group["id"].to_numpy()[order]
-        x = np.array(group["vector"].to_pylist(), float)[order]
+        given = group["vector"].to_pylist()
+        x = np.zeros((len(ids), max(map(len, given))))  # a shorter vector has zeros at its end
+        for k, at in enumerate(order):
+            x[k, : len(given[at])] = given[at]
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-        d = np.clip(1 - x @ x.T, 0, 2)
-        labels = [average_linkage(d, t, inclusive) for t in thresholds]
-        share = consensus_of(labels)
-        final = average_linkage(1 - share, 1 - consensus, inclusive)
+        labels = linkages(x, thresholds, inclusive)
+        final = consensus_labels(labels, consensus, inclusive)
         counts = np.bincount(final, minlength=len(ids))
         final = np.where(counts[final] < min_size, np.arange(len(ids)), final)
-        same = final[:, None] == final[None]
-        others = same.sum(1) - 1
-        strength = np.where(others > 0, ((share * same).sum(1) - 1) / np.maximum(others, 1), 1.0)
-        return pa.table([pa.array(ids), pa.array(ids[final]), pa.array(strength), pa.array([[int(ids[k[i]]) for k in labels] for i in range(len(ids))], pa.list_(pa.int64()))], names=["id", "label", "consensus_strength", "labels"])
+        return pa.table([pa.array(ids), pa.array(ids[final]), pa.array(strengths(labels, final)), pa.array([[int(ids[k[i]]) for k in labels] for i in range(len(ids))], pa.list_(pa.int64()))], names=["id", "label", "consensus_strength", "labels"])
 
     found = placed.groupBy("component").applyInArrow(one, "id long, label long, consensus_strength double, labels array<bigint>")
     sizes = found.groupBy("label").agg(F.count("*").alias("cluster_size"), F.min("id").alias("least"))
