@@ -114,6 +114,14 @@ def test_linkages_equal_the_one_over_all_distances():
         assert np.allclose(clusters.strengths(got, final), np.where(others > 0, ((share * same).sum(1) - 1) / np.maximum(others, 1), 1.0))
 
 
+def test_a_component_of_many_rows_is_clustered(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.c_[np.full(5400, 2.0), rng.standard_normal((5400, 3))])]
+    found = clusters.cluster_tasks(spark.createDataFrame(rows, "id long, vector array<double>"), thresholds=(0.02, 0.04))
+    sizes = clusters.cluster_summary(found).agg({"size": "sum"}).first()[0]
+    assert found.count() == sizes == 5400
+
+
 def test_auc(spark):
     data = [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (0, None)]
     got = scoring.auc(spark.createDataFrame(data, "y int, s double"), "y", "s").first()
