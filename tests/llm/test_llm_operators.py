@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import components, decontamination, embedding_dedup, ngram_join, packing, pii, queries, sharding, substring_dedup, token_counts, toxicity, warc
+from tracewright.llm import common, components, decontamination, embedding_dedup, ngram_join, packing, pii, queries, sharding, substring_dedup, token_counts, toxicity, warc
 from tracewright.llm.common import Scratch
 
 #: Columns that operators use for themselves or return.
@@ -311,6 +311,23 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_are_sent_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 32))
+    x[150:] = x[:150] + 0.1 * rng.standard_normal((150, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent, write = [], common.Scratch.keep_all
+    monkeypatch.setattr(common.Scratch, "keep_all", lambda self, parts: write(self, (sent.append(p) or p for p in parts)))
+    plain = embedding_dedup.near_duplicates(df, cell_rows=16).collect()
+    once = len(sent)
+    rounds = embedding_dedup.near_duplicates(df, cell_rows=16, round_rows=300).collect()
+    assert sorted(map(str, rounds)) == sorted(map(str, plain)) and len(sent) - once > once
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert {r["vec_id"]: r["n_links"] for r in rounds} == dict(enumerate(((u @ u.T >= 0.95).sum(1) - 1).tolist()))
+    cells = [((8, 0, c), 10) for c in range(5)] + [((8, 1, 0), 99)]
+    assert [sum(map(len, r.values())) for r in embedding_dedup.in_rounds(cells, 20)] == [2, 2, 1, 1] and embedding_dedup.in_rounds([], 20) == []
+
+
 # op6
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,8 @@ from ..session import ship
 
 #: Rows of one Arrow batch. Texts may hold hundreds of kB, so the default of 10,000 rows is too many.
 BATCH_ROWS = 256
+#: Spark's setting that deletes a query's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,10 +77,24 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df once and read it back."""
+        return self.keep_all([df])
+
+    def keep_all(self, parts: Iterable[DataFrame]) -> DataFrame:
+        """Write tables of equal columns one after another, at least one, and read them back as one.
+
+        What a write shuffled is deleted as soon as it ends, not when the driver happens to collect garbage.
+        """
         self.count += 1
-        path = f"{self.at}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        path, conf, schema = f"{self.at}/{self.count}", self.spark.conf, None
+        before = conf.get(CLEAN_UP, "false")
+        for df in parts:
+            conf.set(CLEAN_UP, "true")
+            try:
+                df.write.mode("append").option("compression", "zstd").parquet(path)
+            finally:
+                conf.set(CLEAN_UP, before)
+            schema = schema or df.schema
+        out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 

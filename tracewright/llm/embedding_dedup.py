@@ -17,6 +17,8 @@ from .components import connected_components, spanning
 COSINE, BLOCK_DIMS, CELL_ROWS, TILE = 0.95, 16, 8_192, 32_768
 #: Dimensions of a subspace that name its cells at most, and vectors whose medians the cells are halved at.
 MOST_BITS, SAMPLE = 12, 4_096
+#: Rows that are sent to cells in one round, at least.
+ROUND_ROWS = 1 << 18
 #: What the budgets are widened by, for the rounding of coordinates to multiples of 2^-20.
 SLACK, GRID = 1e-4, 1 << 20
 #: Home rows and other rows that are compared at once, and the share of near pairs from which they are worked out as matrices.
@@ -64,22 +66,33 @@ def apart_from(p: np.ndarray, code: np.ndarray, cell: int) -> np.ndarray:
     return (p**2 * ((code[:, None] ^ cell) >> bits & 1)).sum(1)
 
 
-def cells(p: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(rows, cell, home): the orthant of each point, and those of a larger number within the distance.
+def cells(p: np.ndarray, most: float, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, cell, home): of some orthants, the one of each point and those of a larger number within the distance.
 
     Of two points within the distance in different orthants, the one of the smaller number so
     meets the other in the other's home; within one orthant they meet at home.
     """
-    home, bits = code_of(p), np.arange(p.shape[1])
-    yield np.arange(len(p)), home, True
-    flips = np.arange(1, 1 << p.shape[1])
-    for lo in range(0, len(flips), 256):
-        x = flips[lo : lo + 256]
-        rows, k = np.nonzero(p**2 @ (x[:, None] >> bits & 1).T.astype(float) <= most + 1e-5)
-        to = home[rows] ^ x[k]
-        up = to > home[rows]
-        if up.any():
-            yield rows[up], to[up], False
+    own, bits = code_of(p), np.arange(p.shape[1])
+    above, below = np.where(p > 0, p**2, 0), np.where(p > 0, 0, p**2)
+    for lo in range(0, len(wanted), 256):
+        x = wanted[lo : lo + 256]
+        one = (x >> bits[:, None] & 1).astype(float)
+        near = above @ (1 - one) + below @ one <= most + 1e-5
+        rows, k = np.nonzero(near & (x > own[:, None]) | (x == own[:, None]))
+        yield rows, x[k], x[k] == own[rows]
+
+
+def in_rounds(cells: list[tuple[tuple[int, int, int], int]], rows: int) -> list[dict[tuple[int, int], np.ndarray]]:
+    """Cells (dims, block, cell) and the rows sent to each, in their order, as rounds of about so many rows: cells by dims and block."""
+    out: list[dict[tuple[int, int], list[int]]] = []
+    full = rows
+    for (dims, block, cell), sent in sorted(cells):
+        if full + sent > rows and full:
+            out.append({})
+            full = 0
+        out[-1].setdefault((dims, block), []).append(cell)
+        full += sent
+    return [{k: np.array(v) for k, v in r.items()} for r in out]
 
 
 class Linker:
@@ -175,7 +188,7 @@ def forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, in
     return [*zip(a[rows].tolist(), b[of_row[rows]].tolist(), strict=True), *zip(b[cols].tolist(), b[of_col[cols]].tolist(), strict=True)]
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLOCK_DIMS, cell_rows: int = CELL_ROWS, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLOCK_DIMS, cell_rows: int = CELL_ROWS, tile: int = TILE, round_rows: int = ROUND_ROWS) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector (vec_id, embedding).
 
     Two vectors are linked when their cosine, in double precision, is at least `cosine`. Equal
@@ -185,7 +198,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
     Every pair meets in at least one subspace. A subspace is halved at the medians of a sample, in
     as many dimensions as make cells of about `cell_rows` home rows; a vector visits the cells
     within the budget of it. Cells of more than `tile` rows, whatever makes them, are dealt to tasks as pairs of tiles;
-    a task returns sums and a spanning forest, not all pairs.
+    a task returns sums and a spanning forest, not all pairs. Cells are sent in rounds of about as
+    many rows as there are vectors (`round_rows` at least), so the disk holds two rounds at most, however often a vector is sent.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -205,52 +219,61 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
     kind = vectors.schema["vec_id"].dataType.simpleString()
     table = scratch.keep(vectors.select("vec_id", "embedding").mapInArrow(read, f"vec_id {kind}, node long, raw binary"))
     nodes = scratch.keep(table.where("node is not null").groupBy("node").agg(F.first("raw").alias("raw"), F.count("*").alias("weight"), F.min("vec_id").alias("least")))
-    bits = bits_for(nodes.count(), cell_rows, MOST_BITS)
+    different = nodes.count()
+    bits = bits_for(different, cell_rows, MOST_BITS)
     sample: dict[int, list[np.ndarray]] = {}
     for r in nodes.select("node", "raw").orderBy("node").limit(SAMPLE).collect():  # names are hashes
         x = np.frombuffer(r["raw"], code)
         sample.setdefault(len(x), []).append(x)
     centres = {n: np.median(unit(np.stack(x)) @ rotation(n), axis=0) for n, x in sample.items()}
 
-    def placed_in(raw: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
-        """dims, block, rows, cell, home."""
+    def placed_in(raw: list[bytes], wanted: dict[tuple[int, int], np.ndarray] | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """dims, block, rows, cell, home, for some cells or all."""
         lengths = np.array([len(r) for r in raw])
         for n in np.unique(lengths):
             of = np.flatnonzero(lengths == n)
-            x = np.frombuffer(b"".join(raw[i] for i in of), code).reshape(len(of), -1)
+            x = unit(np.frombuffer(b"".join(raw[i] for i in of), code).reshape(len(of), -1))
             dims = x.shape[1]
-            y, most = unit(x) @ rotation(dims) - centres.get(dims, np.zeros(dims)), budgets(dims, cosine, width)
+            turn, centre, most = rotation(dims), centres.get(dims, np.zeros(dims)), budgets(dims, cosine, width)
             for k, (lo, hi) in enumerate(blocks_of(dims, width)):
-                for rows, cell, home in cells(y[:, lo : min(hi, lo + bits)], most[k]):
-                    yield dims, k, of[rows], cell, home
+                hi = min(hi, lo + bits)
+                some = np.arange(1 << hi - lo) if wanted is None else wanted.get((dims, k))
+                if some is not None:
+                    for rows, cell, home in cells(x @ turn[:, lo:hi] - centre[lo:hi], most[k], some):
+                        yield dims, k, of[rows], cell, home
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dims, k, _, cell, _ in placed_in(b.column("raw").to_pylist()):
+            for dims, k, _, cell, _ in placed_in(b.column("raw").to_pylist(), None):
                 at, n = np.unique(cell, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), dims)), pa.array(np.full(len(at), k)), pa.array(at), pa.array(n)], ["dims", "block", "cell", "n"])
 
     # at most blocks times 2^MOST_BITS cells for each length of vectors
     sizes = nodes.select("raw").mapInArrow(count, "dims long, block long, cell long, n long").groupBy("dims", "block", "cell").agg(F.sum("n").alias("n"))
-    tiles = {(r["dims"], r["block"], r["cell"]): -(-r["n"] // tile) for r in sizes.where(F.col("n") > tile).collect()}
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            raw, node, weight = b.column("raw").to_pylist(), b.column("node").to_numpy(), b.column("weight").to_numpy()
-            for dims, k, rows, cell, home in placed_in(raw):
-                parts = np.array([tiles.get((dims, k, c), 1) for c in cell.tolist()]) if tiles else np.ones(len(cell), np.int64)
-                mine = node[rows] % parts
-                for other in range(parts.max(initial=1)):
-                    some = other < parts
-                    r, p = rows[some], mine[some]
-                    full = lambda v, r=r: pa.array(np.full(len(r), v, np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            full(dims), full(k), pa.array(cell[some]), pa.array(np.minimum(p, other)), pa.array(np.maximum(p, other)), pa.array(p), pa.array(np.full(len(r), home)),
-                            pa.array(node[r]), pa.array(weight[r]), pa.array([raw[i] for i in r], pa.binary()),
-                        ],
-                        ["dims", "block", "cell", "i", "j", "part", "home", "node", "weight", "raw"],
-                    )
+    held = {(r["dims"], r["block"], r["cell"]): r["n"] for r in sizes.collect()}
+    tiles = {c: -(-n // tile) for c, n in held.items() if n > tile}
+    rounds = in_rounds([(c, n * tiles.get(c, 1)) for c, n in held.items()], max(round_rows, different))
+
+    def spread(wanted: dict[tuple[int, int], np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                raw, node, weight = b.column("raw").to_pylist(), b.column("node").to_numpy(), b.column("weight").to_numpy()
+                for dims, k, rows, cell, home in placed_in(raw, wanted):
+                    parts = np.array([tiles.get((dims, k, c), 1) for c in cell.tolist()]) if tiles else np.ones(len(cell), np.int64)
+                    mine = node[rows] % parts
+                    for other in range(parts.max(initial=1)):
+                        some = other < parts
+                        r, p = rows[some], mine[some]
+                        full = lambda v, r=r: pa.array(np.full(len(r), v, np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                full(dims), full(k), pa.array(cell[some]), pa.array(np.minimum(p, other)), pa.array(np.maximum(p, other)), pa.array(p), pa.array(home[some]),
+                                pa.array(node[r]), pa.array(weight[r]), pa.array([raw[i] for i in r], pa.binary()),
+                            ],
+                            ["dims", "block", "cell", "i", "j", "part", "home", "node", "weight", "raw"],
+                        )
+
+        return run
 
     def join(rows: pa.Table) -> pa.Table:
         one = lambda c: rows[c][0].as_py()
@@ -276,8 +299,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, width: int = BLO
         )
 
     keys = ["dims", "block", "cell", "i", "j"]
-    placed = nodes.select("node", "weight", "raw").mapInArrow(spread, ", ".join(f"{c} long" for c in [*keys, "part"]) + ", home boolean, node long, weight long, raw binary")
-    found = scratch.keep(placed.groupBy(*keys).applyInArrow(join, "node long, links long, other long"))
+    columns = ", ".join(f"{c} long" for c in [*keys, "part"]) + ", home boolean, node long, weight long, raw binary"
+    sent = (nodes.select("node", "weight", "raw").mapInArrow(spread(r), columns) for r in rounds or [{}])
+    found = scratch.keep_all(x.groupBy(*keys).applyInArrow(join, "node long, links long, other long") for x in sent)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), scratch)
     of_node = scratch.keep(
