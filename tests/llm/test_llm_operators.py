@@ -213,6 +213,33 @@ def test_components(spark):
     assert {r[0]: r[1] for r in got.collect() if r[0] != r[1]} == want
 
 
+def test_parities_rule_out_no_link():
+    rng = np.random.default_rng(12)
+    ruled, linked = 0, 0
+    for k in range(2000):
+        n = int(rng.choice([1, 2, 7, 20, 64, 65, 130, 900]))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        other = np.unique(rng.integers(0, 1 << 63, 1 + n // (3, 6, 12, 20)[k % 4], dtype=np.uint64))
+        b = other if k % 5 == 0 else np.unique(np.r_[a[rng.integers(0, 1 + n // 12) :], other[: rng.integers(0, len(other) + 1)]])
+        may = ngram_join.may_link(len(a), len(b), ngram_join.parity_of(a), ngram_join.parity_of(b))
+        is_link = ngram_join.linked(a, b)
+        assert may or not is_link
+        ruled, linked = ruled + (not may), linked + is_link
+    assert ruled > 300 and linked > 300
+
+
+def test_only_texts_of_likely_links_are_sent(spark, monkeypatch):
+    rng = random.Random(21)
+    shared = prose(rng, 12)
+    rows = [(i, f"{shared} {prose(rng, 60)}") for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)]
+    sent, whole = [], ngram_join.texts_of
+    monkeypatch.setattr(ngram_join, "texts_of", lambda texts, keys: sent.append(whole(texts, keys).count()) or whole(texts, keys))
+    got = ngram_join.ngram_groups(spark.createDataFrame(rows, SCHEMA), short=1000).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert sent == [10]
+
+
 # op3
 
 

@@ -2,7 +2,8 @@
 
 A document's shingles are ordered from rare to frequent by a count sketch of all documents. Two
 sets of the required similarity share a shingle among the rare ones of each, so these short
-inverted lists give the candidates; the long lists are only probed. Lists of a few documents give
+inverted lists give the candidates; the long lists are only probed. Parities of the sets rule out
+most candidates before texts are read again, and only texts of the others are sent. Lists of a few documents give
 pairs. A longer list gives a star around one document; what the star leaves unlinked is searched
 in blocks with DivideSkip.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .components import connected_components
 WORDS, PERCENT = 4, 85
 #: Buckets of the count sketch (2 to this power), and of one of its rows.
 SKETCH_BITS, CHUNK_BITS = 20, 12
+#: Bits of the keys whose texts are wanted (2 to this power).
+KEY_BITS = 25
 #: Longest list that gives all its pairs, and documents of a block of the search.
 SHORT_LIST, BLOCK = 32, 512
 
@@ -80,6 +84,23 @@ def rare_first(s: np.ndarray, sketch: np.ndarray, percent: int = PERCENT) -> np.
     return s if keep >= n else s[np.argpartition(key, keep - 1)[:keep]]
 
 
+def parity_of(s: np.ndarray) -> bytes:
+    """Bits, about as many as the set has shingles: whether an odd number of shingles fall on each."""
+    bits = max(64, 1 << (len(s) - 1).bit_length()) if len(s) else 64
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(n_a: int, n_b: int, a: bytes, b: bytes, percent: int = PERCENT) -> bool:
+    """False only where two sets cannot be linked: each bit in which their parities differ needs a shingle that one of them lacks."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    apart = n_a + n_b - 2 * -(-percent * (n_a + n_b) // (100 + percent))
+    return int.from_bytes((x ^ y).tobytes(), "little").bit_count() <= apart
+
+
 class Index:
     """Inverted lists of some sets, for T-occurrence search."""
 
@@ -133,8 +154,9 @@ def _long(values: list) -> pa.Array:
 
 
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """A row of (row_key, doc_id, n, sig) for each document, and rows of (chunk, counts) of each task's sketch."""
+    """A row of (row_key, doc_id, n, sig, parity) for each document, and rows of (chunk, counts) of each task's sketch."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["row_key", "doc_id", "n", "sig", "parity", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -147,18 +169,18 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
             id_type = b.column("doc_id").type
             n = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column("row_key"), b.column("doc_id"), _long([len(s) for s in sets]), _long([signature(s) if len(s) else None for s in sets]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["row_key", "doc_id", "n", "sig", "chunk", "counts"],
+                [b.column("row_key"), b.column("doc_id"), _long([len(s) for s in sets]), _long([signature(s) if len(s) else None for s in sets]), pa.array([parity_of(s) for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                names,
             )
         if id_type is not None:
             parts = counts.astype("<u4").reshape(-1, 1 << CHUNK_BITS)
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                ["row_key", "doc_id", "n", "sig", "chunk", "counts"],
+                [pa.nulls(n, pa.int64()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
+                names,
             )
 
-    return docs.mapInArrow(run, f"row_key long, doc_id {kind}, n long, sig long, chunk int, counts binary")
+    return docs.mapInArrow(run, f"row_key long, doc_id {kind}, n long, sig long, parity binary, chunk int, counts binary")
 
 
 def sum_sketch(parts: DataFrame) -> np.ndarray:
@@ -245,6 +267,34 @@ def candidates(lists: DataFrame, percent: int, short: int) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long, star boolean")
 
 
+def without_unlike(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of (a, b, n_a, n_b, parity_a, parity_b), less those that parities rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "parity_a", "parity_b")), strict=True)
+            yield b.select(["a", "b"]).filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_()))
+
+    return pairs.mapInArrow(run, "a long, b long")
+
+
+def texts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows (row_key, text) whose key may be in keys (row_key), by a bitmap of fixed size, before any exchange of texts; few others stay."""
+    low = F.col("row_key").bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+    marks = keys.select(F.shiftright(low, 15).alias("chunk"), low.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    held = np.zeros(1 << KEY_BITS - 3, np.uint8)
+    for chunk, bits in marks.collect():
+        held[chunk << 12 : (chunk + 1) << 12] = np.frombuffer(bits, np.uint8)
+    known = keys.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column("row_key").to_numpy() & ((1 << KEY_BITS) - 1)
+            yield b.filter(pa.array((known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return texts.mapInArrow(run, "row_key long, text string")
+
+
 class _Sets:
     """Sets of the latest texts, as a star's centre comes again and again."""
 
@@ -311,17 +361,24 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sh
     table = scratch.keep(describe(rows, words))
     sketch = spark.sparkContext.broadcast(sum_sketch(table.where("chunk is not null").select("chunk", "counts")))  # of fixed size
     named = table.where("chunk is null").select("row_key", "doc_id", "n", "sig")
+    nodes = table.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     reps = named.where("sig is not null").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("rep"))
     lists = short_lists(rows, sketch, words, percent)
     in_order = lists.repartition(F.col("token")).sortWithinPartitions("token", "n", "sig")
     pairs = scratch.keep(candidates(in_order, percent, short).groupBy("a", "b").agg(F.max("star").alias("star")))
     texts = rows.select("row_key", "text")
 
-    def with_text(df: DataFrame, sig: str, name: str) -> DataFrame:
-        named_rep = df.join(reps.select(F.col("sig").alias(sig), F.col("rep").alias("row_key")), sig)
-        return named_rep.join(texts.withColumnRenamed("text", name), "row_key").drop("row_key")
-
-    links = scratch.keep(verify(with_text(with_text(pairs.select("a", "b"), "a", "text_a"), "b", "text_b"), words, percent).distinct())
+    def with_text(df: DataFrame, **names: str) -> DataFrame:
+        """With the text of each column of names that is given, as the column it names."""
+        wanted = reduce(DataFrame.union, [df.select(F.col(sig).alias("sig")) for sig in names]).distinct()
+        some = texts_of(texts, reps.join(wanted, "sig", "left_semi").select(F.col("rep").alias("row_key")))
+        for sig, name in names.items():
+            df = df.join(reps.select(F.col("sig").alias(sig), F.col("rep").alias("row_key")), sig).join(some.withColumnRenamed("text", name), "row_key").drop("row_key")
+        return df
+
+    of = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    alike = scratch.keep(without_unlike(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b"), percent))
+    links = scratch.keep(verify(with_text(alike, a="text_a", b="text_b"), words, percent).distinct())
     components = scratch.keep(connected_components(links, scratch))
     stars = pairs.where("star").select(F.col("a").alias("centre"), F.col("b").alias("sig"))
     if stars.take(1):
@@ -330,7 +387,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sh
         sizes = members.groupBy("centre", "component").agg(F.count("*").alias("n"))
         main = sizes.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("n").alias("most")).where("parts > 1")
         plan = main.select("centre", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("query_parts"))
-        wide = with_text(members, "sig", "text").join(plan, "centre")
+        wide = with_text(scratch.keep(members.join(plan, "centre")), sig="text")
         spot = F.pmod(F.xxhash64("sig", F.lit(2)), F.col("blocks")).cast("int")
         part = F.pmod(F.xxhash64("sig", F.lit(3)), F.col("query_parts")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
