@@ -486,6 +486,19 @@ def test_chunks_resist_shifts():
     assert {c for c in cuts if c > 16} <= moved
 
 
+def test_only_texts_with_stretches_are_sent(spark, monkeypatch):
+    rng = random.Random(31)
+    passage = prose(rng, 90)
+    rows = [(i, f"{prose(rng, 70)} {passage} {prose(rng, 40)}" if i in (3, 17) else prose(rng, 200)) for i in range(30)]
+    sent, plans, whole, made = [], [], substring_dedup.texts_of, substring_dedup.stretches
+    monkeypatch.setattr(substring_dedup, "texts_of", lambda texts, keys: sent.append(whole(texts, keys).count()) or whole(texts, keys))
+    monkeypatch.setattr(substring_dedup, "stretches", lambda *a: plans.append(made(*a)) or plans[-1])
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["kept_in"], r["kept"]) for r in got} == {(3, 3, True), (17, 3, False)}
+    assert all(r["n_words"] >= 90 for r in got) and sent == [2]
+    assert "BroadcastHashJoin" not in plans[0]._jdf.queryExecution().executedPlan().toString()
+
+
 # op8, op10
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import Scratch, small_batches
+from .ngram_join import texts_of
 
 #: Words of a passage (over 50), and of them at its start those whose rolling hash may see what is before it.
 PASSAGE_WORDS, BLURRED = 51, 8
@@ -136,7 +137,7 @@ def stretch_hashes(text: str, words: int, zones: list[tuple[int, int]]) -> tuple
 def stretches(zones: DataFrame, named: DataFrame, words: int) -> DataFrame:
     """(gram, id, at): hashes of stretches in zones, and where they are.
 
-    Places count from a number of the text, so that places of two texts of one id are never neighbours.
+    Only texts with zones are sent, and always by exchange: zones grow with the documents. Places count from a number of the text, so that places of two texts of one id are never neighbours.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,8 @@ def stretches(zones: DataFrame, named: DataFrame, words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["gram", "id", "at"])
 
     of = zones.groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("zones"))
-    return of.join(named, "id").mapInArrow(run, "gram long, id long, at long")
+    some = texts_of(named.select(F.col("id").alias("row_key"), "text"), zones.select(F.col("id").alias("row_key"))).withColumnRenamed("row_key", "id")
+    return of.hint("merge").join(some, "id").mapInArrow(run, "gram long, id long, at long")
 
 
 def repeated_passages(docs: DataFrame, words: int = PASSAGE_WORDS) -> DataFrame:
