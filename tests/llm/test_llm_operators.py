@@ -390,6 +390,23 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs, bench.limit(0)).count() == 0 and decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_are_few_files(spark, tmp_path):
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    item = "how many apples did the farmer sell at the market on monday"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, f"start {i} {item} end") for i in range(60)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        queries.op6_decontamination(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(list((tmp_path / "out").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(60))
+
+
 def test_hamming_blocks(spark):
     rng = random.Random(9)
     rows = []

@@ -28,6 +28,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def few_files(rows: DataFrame) -> DataFrame:
+    """Small rows in as many parts as the session has cores, not one for each shuffle partition.
+
+    On a local disk without Hadoop's native library, the executor forks twice for each file that it writes.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], added: str, at_once: int = 128) -> DataFrame:
     """Replace the column text by columns computed from it, in a narrow pass over Arrow batches.
 
