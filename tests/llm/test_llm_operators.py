@@ -243,6 +243,28 @@ def test_only_texts_of_likely_links_are_sent(spark, monkeypatch):
 # op3
 
 
+def test_a_task_of_near_copies_has_one_python_worker(spark, monkeypatch):
+    seen = []
+    plain = {name: getattr(ngram_join, name) for name in ("verify", "connected_components")}
+    for name, f in plain.items():
+        monkeypatch.setattr(ngram_join, name, lambda df, *a, f=f: seen.append(df) or f(df, *a))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: 57 + i % 3], f"own{i}", f"mine{i}"])) for i in range(80)] + [(100 + i, " ".join(base[:40] + [f"x{i}{k}" for k in range(20)])) for i in range(40)]
+    assert ngram_join.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert len(seen) == 3  # pairs, links, and those of stars
+    for df in seen:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-*")) for x in plan]
+        for k in (k for k, x in enumerate(plan) if "InArrow" in x):
+            above, d = [], depth[k]
+            for j in range(k - 1, -1, -1):
+                if depth[j] < d:
+                    d = depth[j]
+                    above.append(plan[j])
+            assert any("Exchange" in x for x in above), "\n".join(plan)
+
+
 def test_arc_versions():
     for version in (1, 2):
         head = warc.arc_header(version, "x.arc", "19990102030405")

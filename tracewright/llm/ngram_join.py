@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import Scratch, few_files, small_batches
 from .components import connected_components
 
 #: Words of a shingle, and the similarity in hundredths.
@@ -369,11 +369,14 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sh
     texts = rows.select("row_key", "text")
 
     def with_text(df: DataFrame, **names: str) -> DataFrame:
-        """With the text of each column of names that is given, as the column it names."""
+        """With the text of each column of names that is given, as the column it names.
+
+        Texts go by exchange: broadcast pairs would put texts_of and what reads them into one task, with a Python worker for each.
+        """
         wanted = reduce(DataFrame.union, [df.select(F.col(sig).alias("sig")) for sig in names]).distinct()
         some = texts_of(texts, reps.join(wanted, "sig", "left_semi").select(F.col("rep").alias("row_key")))
         for sig, name in names.items():
-            df = df.join(reps.select(F.col("sig").alias(sig), F.col("rep").alias("row_key")), sig).join(some.withColumnRenamed("text", name), "row_key").drop("row_key")
+            df = df.join(reps.select(F.col("sig").alias(sig), F.col("rep").alias("row_key")), sig).join(some.withColumnRenamed("text", name).hint("merge"), "row_key").drop("row_key")
         return df
 
     of = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
@@ -393,7 +396,7 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sh
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         index = wide.select("centre", spot.alias("block"), every("query_parts").alias("part"), F.lit(False).alias("query"), "sig", "component", "text")
         queries = wide.where(F.col("component") != F.col("main")).select("centre", every("blocks").alias("block"), part.alias("part"), F.lit(True).alias("query"), "sig", "component", "text")
-        more = search_blocks(index.union(queries), words, percent)
+        more = few_files(search_blocks(index.union(queries), words, percent))  # an exchange, so that one task has one Python worker
         components = scratch.keep(connected_components(links.union(more), scratch))
     placed = named.join(components.withColumnRenamed("node", "sig"), "sig", "left").select("row_key", "doc_id", "n", "sig", F.coalesce("component", "sig").alias("component"))
     smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
