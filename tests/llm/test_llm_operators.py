@@ -8,6 +8,7 @@ import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -265,6 +266,34 @@ def test_a_task_of_near_copies_has_one_python_worker(spark, monkeypatch):
             assert any("Exchange" in x for x in above), "\n".join(plan)
 
 
+def test_near_copies_are_kept_in_few_files(spark, tmp_path, monkeypatch):
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join([*base[: 57 + i % 3], f"own{i}", f"mine{i}"])) for i in range(80)] + [(100 + i, " ".join(base[:40] + [f"x{i}{k}" for k in range(20)])) for i in range(40)]
+    spark.createDataFrame(rows, SCHEMA).repartition(30).write.parquet(str(tmp_path / "documents.parquet"))
+    kept, keep = [], Scratch.keep
+    files = lambda path: len(list(Path(path.removeprefix("file:")).glob("part-*")))
+
+    def counted(self, df):
+        out = keep(self, df)
+        kept.append(files(out._scratch_path))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        queries.op2_ngram_join(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(kept) > 8 and max(kept) <= cores and files(str(tmp_path / "out")) <= cores
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == set(linked_groups(rows, 4, 85))
+
+
 def test_arc_versions():
     for version in (1, 2):
         head = warc.arc_header(version, "x.arc", "19990102030405")

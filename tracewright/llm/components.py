@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, gathered, ship
 
 
 def spanning(edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
     """
     ship(edges.sparkSession)
     clean = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = scratch.keep(clean.mapInArrow(_contract, "a long, b long").distinct())
+    now = scratch.keep(gathered(clean.mapInArrow(_contract, "a long, b long").distinct()))
     state = None
     for _ in range(most_rounds):
         # large star: larger neighbours of a node join its smallest
@@ -55,7 +55,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int =
         # small star: smaller neighbours of a node, and itself, join the smallest
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = scratch.keep(moved.union(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        after = scratch.keep(gathered(moved.union(small_least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()))
         new = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         scratch.drop(now)
         now = after

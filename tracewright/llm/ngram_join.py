@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, few_files, small_batches
+from .common import Scratch, few_files, gathered, small_batches
 from .components import connected_components
 
 #: Words of a shingle, and the similarity in hundredths.
@@ -358,14 +358,14 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sh
     small_batches(spark)
     scratch = Scratch(spark, "ngram")
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), "doc_id", "text")
-    table = scratch.keep(describe(rows, words))
+    table = scratch.keep(few_files(describe(rows, words)))
     sketch = spark.sparkContext.broadcast(sum_sketch(table.where("chunk is not null").select("chunk", "counts")))  # of fixed size
     named = table.where("chunk is null").select("row_key", "doc_id", "n", "sig")
     nodes = table.where("sig is not null").groupBy("sig").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
     reps = named.where("sig is not null").groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))["row_key"].alias("rep"))
     lists = short_lists(rows, sketch, words, percent)
     in_order = lists.repartition(F.col("token")).sortWithinPartitions("token", "n", "sig")
-    pairs = scratch.keep(candidates(in_order, percent, short).groupBy("a", "b").agg(F.max("star").alias("star")))
+    pairs = scratch.keep(gathered(candidates(in_order, percent, short).groupBy("a", "b").agg(F.max("star").alias("star"))))
     texts = rows.select("row_key", "text")
 
     def with_text(df: DataFrame, **names: str) -> DataFrame:
@@ -380,24 +380,24 @@ def ngram_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, sh
         return df
 
     of = lambda x: nodes.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
-    alike = scratch.keep(without_unlike(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b"), percent))
-    links = scratch.keep(verify(with_text(alike, a="text_a", b="text_b"), words, percent).distinct())
-    components = scratch.keep(connected_components(links, scratch))
+    alike = scratch.keep(few_files(without_unlike(pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b"), percent)))
+    links = scratch.keep(gathered(verify(with_text(alike, a="text_a", b="text_b"), words, percent).distinct()))
+    components = scratch.keep(gathered(connected_components(links, scratch)))
     stars = pairs.where("star").select(F.col("a").alias("centre"), F.col("b").alias("sig"))
     if stars.take(1):
         members = stars.union(stars.select("centre", F.col("centre").alias("sig")).distinct())
-        members = scratch.keep(members.join(components.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig")))
+        members = scratch.keep(few_files(members.join(components.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))))
         sizes = members.groupBy("centre", "component").agg(F.count("*").alias("n"))
         main = sizes.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("n").alias("most")).where("parts > 1")
         plan = main.select("centre", "main", F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).cast("int").alias("query_parts"))
-        wide = with_text(scratch.keep(members.join(plan, "centre")), sig="text")
+        wide = with_text(scratch.keep(few_files(members.join(plan, "centre"))), sig="text")
         spot = F.pmod(F.xxhash64("sig", F.lit(2)), F.col("blocks")).cast("int")
         part = F.pmod(F.xxhash64("sig", F.lit(3)), F.col("query_parts")).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         index = wide.select("centre", spot.alias("block"), every("query_parts").alias("part"), F.lit(False).alias("query"), "sig", "component", "text")
         queries = wide.where(F.col("component") != F.col("main")).select("centre", every("blocks").alias("block"), part.alias("part"), F.lit(True).alias("query"), "sig", "component", "text")
         more = few_files(search_blocks(index.union(queries), words, percent))  # an exchange, so that one task has one Python worker
-        components = scratch.keep(connected_components(links.union(more), scratch))
+        components = scratch.keep(gathered(connected_components(links.union(more), scratch)))
     placed = named.join(components.withColumnRenamed("node", "sig"), "sig", "left").select("row_key", "doc_id", "n", "sig", F.coalesce("component", "sig").alias("component"))
     smallest = placed.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(smallest, "component", "left")

@@ -22,7 +22,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return few_files(ngram_join.ngram_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
