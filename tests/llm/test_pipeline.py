@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version on its own input, and the queries as registered."""
 
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__
@@ -35,6 +37,25 @@ def test_toxic_stage_against_labels(spark):
     assert sum(d not in kept for d in toxic) >= 0.9 * len(toxic)
 
 
+def test_stages_keep_few_files(spark, monkeypatch):
+    """Own tables of the first two stages, on documents in many parts."""
+    from tracewright.llm.common import Scratch
+
+    kept, keep = [], Scratch.keep
+
+    def counted(self, df):
+        out = keep(self, df)
+        kept.append(len(list(Path(out._scratch_path.removeprefix("file:")).glob("part-*"))))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(30)
+    for f in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies):
+        kept.clear()
+        assert f(spark, docs, DATA).count() > 0
+        assert kept and max(kept) <= spark.sparkContext.defaultParallelism
+
+
 def test_near_copies_stage(stages):
     rows = sorted((r["doc_id"], r["text"]) for r in stages[1].collect())
     sets = {}

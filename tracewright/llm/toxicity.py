@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, ship
+from .common import Scratch, few_files, map_texts, ship
 
 #: Most labelled rows that a model is fitted on, chosen by a hash of their id.
 MOST_LABELLED = 12_000
@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: int = 2, most: int = MOS
     )
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
     texts = texts.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
-    sample = Scratch(docs.sparkSession, "toxic").keep(texts)
+    sample = Scratch(docs.sparkSession, "toxic").keep(few_files(texts))
     *apart, lexicon = learn_lexicons(sample)
     rows = None
     for k in range(FOLDS):
