@@ -122,6 +122,52 @@ def test_a_component_of_many_rows_is_clustered(spark):
     assert found.count() == sizes == 5400
 
 
+def greedy_linkage(d, cut):
+    """By definition, where distances are equal if they agree to 12 decimals."""
+    d, label, size = d.copy(), np.arange(len(d)), np.ones(len(d))
+    np.fill_diagonal(d, np.inf)
+    while True:
+        i, j = sorted(divmod(int(np.round(d, 12).argmin()), len(d)))
+        if not round(d[i, j], 12) < cut:
+            return label.tolist()
+        d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
+        size[i] += size[j]
+        label[label == j] = i
+
+
+def test_of_equal_distances_the_first_rows_merge_first():
+    rng = np.random.default_rng(1)
+    for k in range(20):
+        x = rng.integers(-1, 2, (90, 4 + k % 4)).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        cuts = (0.1, 0.3, 0.5)
+        assert [g.tolist() for g in clusters.linkages(x, cuts, at_once=7)] == [greedy_linkage(np.clip(1 - x @ x.T, 0, 2), c) for c in cuts]
+
+
+def test_a_component_is_merged_in_rounds_and_no_task_has_it_whole(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.c_[np.full(600, 0.8), rng.standard_normal((600, 8)) * 0.4]
+    x[300:330] = x[:30]  # copies
+    ids = rng.permutation(600) * 3
+    whole, cuts = [], (0.2, 0.3, 0.1)
+    monkeypatch.setattr(clusters, "REST_PAIRS", 300 * 300)
+    rounds = clusters._merge_round
+    monkeypatch.setattr(clusters, "_merge_round", lambda live, n, *more: whole.append(n) or rounds(live, n, *more))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(1, [float("nan")] * 9), (2, None)]
+    found = {r["id"]: r for r in clusters.cluster_tasks(spark.createDataFrame(rows, "id long, vector array<double>"), thresholds=cuts).collect()}
+    assert len(whole) > 1 and whole[0] == 600
+    order = np.argsort(ids)
+    x = x[order] / np.linalg.norm(x[order], axis=1, keepdims=True)
+    want = [greedy_linkage(np.clip(1 - x @ x.T, 0, 2), c) for c in cuts]
+    assert [[found[i]["labels"][k] // 3 for i in sorted(ids.tolist())] for k in range(3)] == want
+    final = clusters.consensus_labels([np.array(w) for w in want], clusters.CONSENSUS)
+    assert [found[i]["cluster_size"] for i in sorted(ids.tolist())] == np.bincount(final)[final].tolist()
+    assert [found[i]["consensus_strength"] for i in sorted(ids.tolist())] == clusters.strengths([np.array(w) for w in want], final).tolist()
+    assert len({found[i]["cluster_id"] for i in ids.tolist()}) == len(set(final.tolist()))
+    assert [found[i]["cluster_size"] for i in (1, 2)] == [1, 1]
+
+
 def test_auc(spark):
     data = [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (0, None)]
     got = scoring.auc(spark.createDataFrame(data, "y int, s double"), "y", "s").first()

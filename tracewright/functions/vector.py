@@ -1,4 +1,4 @@
-"""Vector expressions, and distances of rows in blocks."""
+"""Vector expressions, and distances of rows and of clusters in blocks."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,3 +114,84 @@ def query_distances(queries: DataFrame, rows: DataFrame, block_rows: int = 8192)
 def all_distances(queries: DataFrame, rows: DataFrame, block_rows: int = 8192) -> DataFrame:
     """(a, b, distance) of each query to all rows of another table, whose ids may be the same."""
     return _tiled(queries, rows, _tiles(queries, block_rows), _tiles(rows, block_rows), _linker(2.0, "all"), False)
+
+
+#: Distances count as equal, so that the first rows go first, where they agree to so many decimals.
+DECIMALS = 12
+
+
+def nearest_columns(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the columns with the largest cosine of each row, and its distance."""
+    best = s.max(1)
+    return (s >= best[:, None] - 10.0**-DECIMALS).argmax(1), np.round(np.maximum(1 - best, 0), DECIMALS)
+
+
+def matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors as rows, a shorter one with zeros at its end, a null one and nulls in one as NaN."""
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+    flat = pc.list_flatten(vectors).to_numpy().astype(float)
+    if (lengths == width).all():
+        return flat.reshape(len(lengths), width)
+    x = np.zeros((len(lengths), width))
+    x[lengths < 0] = np.nan
+    x[np.arange(width) < lengths[:, None]] = flat
+    return x
+
+
+def _nearest_in_tiles(rows: pa.Table) -> pa.Table:
+    """(c, near, least) of stale clusters of either of two tiles among those of the other, or within one tile."""
+    at_once, c = 256, rows["c"].to_numpy()
+    order = np.argsort(c)
+    size, stale, first = (rows[k].to_numpy() for k in ("size", "stale", "first"))
+    x = matrix(rows["total"], len(rows["total"][0])) / size[:, None]
+    a, b = (order[first[order] == side] for side in (True, False))
+    own = rows["i"][0].as_py() == rows["j"][0].as_py()
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def look(ask: np.ndarray, among: np.ndarray) -> None:
+        y = x[among].T
+        for lo in range(0, len(ask), at_once):
+            at = ask[lo : lo + at_once]
+            s = x[at] @ y
+            if own:
+                s[np.arange(len(at)), np.searchsorted(c[among], c[at])] = -np.inf
+            k, d = nearest_columns(s)
+            found.append((c[at], c[among[k]], d))
+
+    def look_both() -> None:
+        y, best, near = x[b].T, np.full(len(b), -np.inf), np.zeros(len(b), np.int64)
+        for lo in range(0, len(a), at_once):
+            at = a[lo : lo + at_once]
+            s = x[at] @ y
+            k, d = nearest_columns(s)
+            found.append((c[at], c[b[k]], d))
+            top = s.max(0)
+            more = np.flatnonzero(top > best + 10.0**-DECIMALS)
+            near[more] = at[(s[:, more] >= top[more] - 10.0**-DECIMALS).argmax(0)]
+            best[more] = top[more]
+        found.append((c[b], c[near], np.round(np.maximum(1 - best, 0), DECIMALS)))
+
+    ask_a, ask_b = a[stale[a]], b[stale[b]]
+    if own:
+        look(ask_a, a) if len(a) > 1 else None
+    elif len(a) and len(b):
+        if len(ask_a) * len(b) + len(ask_b) * len(a) > len(a) * len(b):
+            look_both()
+        else:
+            look(ask_a, b)
+            look(ask_b, a)
+    cs, near, least = (np.concatenate(k) for k in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table([pa.array(cs), pa.array(near), pa.array(least)], names=["c", "near", "least"])
+
+
+def nearest_means(rows: DataFrame, n: int, tile_rows: int = 8192) -> DataFrame:
+    """(c, near, least): the nearest other cluster of each stale one, and perhaps of others, of n clusters (c, total, size, stale).
+
+    The distance is 1 less the product of mean vectors, total / size. A task holds two tiles of clusters and a strip of their products.
+    """
+    tiles = max(-(-n // tile_rows), min(8, -(-n // 1024)))
+    own, other = F.pmod(F.xxhash64("c", F.lit(2)), F.lit(tiles)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    dealt = rows.select("c", "total", "size", "stale", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("c", "total", "size", "stale", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.expr("own <= other").alias("first"))
+    found = dealt.repartition(tiles * (tiles + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(_nearest_in_tiles, "c long, near long, least double")
+    return found.groupBy("c").agg(F.min(F.struct("least", "near")).alias("m")).select("c", "m.near", "m.least")
