@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import outcome as oc
 from tracewright.functions import text as tx
+from tracewright.functions.vector import nearest_means
 from tracewright.operators import clusters, pairs, rubrics, scoring, sequences, traces
 from tracewright.sources import readers, sinks
 
@@ -168,6 +169,18 @@ def test_a_component_is_merged_in_rounds_and_no_task_has_it_whole(spark, monkeyp
     assert [found[i]["cluster_size"] for i in (1, 2)] == [1, 1]
 
 
+def test_stale_clusters_find_their_nearest_over_all_tiles(spark):
+    rng = np.random.default_rng(6)
+    x, stale = rng.standard_normal((400, 5)), rng.random(400) < 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist(), 2.0, bool(s)) for i, (v, s) in enumerate(zip(x, stale, strict=True))]
+    found = nearest_means(spark.createDataFrame(rows, "c long, total array<double>, size double, stale boolean"), 400, tile_rows=60).collect()
+    s = x @ x.T / 4
+    np.fill_diagonal(s, -np.inf)
+    assert {r["c"]: r["near"] for r in found} == {int(i): int(s[i].argmax()) for i in np.flatnonzero(stale)}
+    assert all(abs(r["least"] - max(0, 1 - s[r["c"]].max())) < 1e-9 for r in found)
+
+
 def test_auc(spark):
     data = [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (0, None)]
     got = scoring.auc(spark.createDataFrame(data, "y int, s double"), "y", "s").first()

@@ -164,12 +164,12 @@ def _nearest_in_tiles(rows: pa.Table) -> pa.Table:
             at = a[lo : lo + at_once]
             s = x[at] @ y
             k, d = nearest_columns(s)
-            found.append((c[at], c[b[k]], d))
+            found.append((c[at][stale[at]], c[b[k]][stale[at]], d[stale[at]]))
             top = s.max(0)
             more = np.flatnonzero(top > best + 10.0**-DECIMALS)
             near[more] = at[(s[:, more] >= top[more] - 10.0**-DECIMALS).argmax(0)]
             best[more] = top[more]
-        found.append((c[b], c[near], np.round(np.maximum(1 - best, 0), DECIMALS)))
+        found.append((c[b][stale[b]], c[near][stale[b]], np.round(np.maximum(1 - best, 0), DECIMALS)[stale[b]]))
 
     ask_a, ask_b = a[stale[a]], b[stale[b]]
     if own:
@@ -185,7 +185,7 @@ def _nearest_in_tiles(rows: pa.Table) -> pa.Table:
 
 
 def nearest_means(rows: DataFrame, n: int, tile_rows: int = 8192) -> DataFrame:
-    """(c, near, least): the nearest other cluster of each stale one, and perhaps of others, of n clusters (c, total, size, stale).
+    """(c, near, least): the nearest other cluster of each stale one of n clusters (c, total, size, stale).
 
     The distance is 1 less the product of mean vectors, total / size. A task holds two tiles of clusters and a strip of their products.
     """

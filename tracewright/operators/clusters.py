@@ -194,7 +194,7 @@ class _Held:
 def _merge_round(live: DataFrame, n: int, cut: float, inclusive: bool, held: _Held) -> tuple[DataFrame, DataFrame]:
     """Clusters after those merged that are each other's nearest, and (c, root, height) of the merged ones."""
     seen = live.join(nearest_means(live, n).select("c", F.col("near").alias("near2"), F.col("least").alias("least2")), "c", "left")
-    seen = seen.select("c", "total", "size", "height", F.coalesce("near2", "near").alias("near"), F.coalesce("least2", "least").alias("least"))  # a fresh one has the same again
+    seen = seen.select("c", "total", "size", "height", F.coalesce("near2", "near").alias("near"), F.coalesce("least2", "least").alias("least"))
     pointed = held.keep(seen.where(F.col("least") <= cut if inclusive else F.col("least") < cut))
     a = pointed.select(F.col("c").alias("root"), F.col("near").alias("child"), "least", F.col("height").alias("height_a"))
     b = pointed.select(F.col("c").alias("child"), F.col("near").alias("root"), F.col("height").alias("height_b"))
