@@ -181,6 +181,14 @@ def test_stale_clusters_find_their_nearest_over_all_tiles(spark):
     assert all(abs(r["least"] - max(0, 1 - s[r["c"]].max())) < 1e-9 for r in found)
 
 
+def test_a_summary_of_clusters_merged_in_rounds_counts_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "REST_PAIRS", 100)
+    rows = [(i, [1.0, 0.001 * (i % 4), float(i % 2)]) for i in range(40)]
+    found = clusters.cluster_summary(clusters.cluster_tasks(spark.createDataFrame(rows, "id long, vector array<double>"), thresholds=(0.1, 0.2))).collect()
+    got = sorted((r["cluster_id"], r["size"], r["mean_strength"], r["first_ids"]) for r in found)
+    assert got == [("task_cluster_0000", 20, 1.0, list(range(0, 16, 2))), ("task_cluster_0001", 20, 1.0, list(range(1, 16, 2)))]
+
+
 def test_auc(spark):
     data = [(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1), (0, None)]
     got = scoring.auc(spark.createDataFrame(data, "y int, s double"), "y", "s").first()
